@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, media, mixing, packing
 
 QUERIES = {
     "op2_chat_formatting": chat.op2,
+    "op3_best_fit_packing": packing.op3,
     "op9_mix_sources": mixing.op9,
+    "op10_media_columns": media.op10,
 }
 
 ORACLES = {
