@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing
+from . import chat, media, mixing, packing, toxicity
 
 QUERIES = {
     "op2_chat_formatting": chat.op2,
     "op3_best_fit_packing": packing.op3,
+    "op5_toxicity": toxicity.op5,
     "op9_mix_sources": mixing.op9,
     "op10_media_columns": media.op10,
 }

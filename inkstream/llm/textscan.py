@@ -53,9 +53,10 @@ class Words:
     hash: np.ndarray | None
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
+def words(buf: np.ndarray, offsets: np.ndarray, hashed: bool = True, apart: np.ndarray = _SPACE) -> Words:
+    """``apart`` marks the bytes that separate words."""
     n = len(offsets) - 1
-    solid = ~_SPACE[buf]
+    solid = ~apart[buf]
     if not len(buf) or not solid.any():
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(n, np.int64), none.astype(U))
