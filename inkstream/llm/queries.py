@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, toxicity
+from . import chat, media, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_chat_formatting": chat.op2,
     "op3_best_fit_packing": packing.op3,
     "op5_toxicity": toxicity.op5,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }
