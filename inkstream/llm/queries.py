@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, ngram_join, packing, toxicity
+from . import chat, line_dedup, media, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_chat_formatting": chat.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_line_dedup": line_dedup.op4,
     "op5_toxicity": toxicity.op5,
     "op9_mix_sources": mixing.op9,
     "op10_media_columns": media.op10,
