@@ -149,14 +149,15 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
     ``counts`` adds n_lines and n_deleted."""
     low = F.lit(-(1 << 63))
     packed = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), low).alias("doc"), F.col("text").cast("string").alias("text"),
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), low).alias("doc"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
     )
-    runs = repeated_runs(packed.select("doc", "text_hash", F.coalesce("text", F.lit("")).alias("text")), run_words, gram_words)
+    text = F.col("row").getField("text").cast("string")
+    runs = repeated_runs(packed.select("doc", "text_hash", F.coalesce(text, F.lit("")).alias("text")), run_words, gram_words)
     spans = runs.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("spans", lambda p: (p.s <= i) & (i <= p.e)))
-    found = packed.join(spans, ["doc", "text_hash"], "left").withColumn("kept", F.when(F.col("spans").isNotNull(), kept))
+    found = packed.join(spans, ["doc", "text_hash"], "left").withColumn("text", text).withColumn("kept", F.when(F.col("spans").isNotNull(), kept))
     found = found.withColumn("new", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")))
     if drop_emptied:
         found = found.where(F.col("kept").isNull() | F.exists("kept", lambda x: x.rlike(r"[^\s]")))
