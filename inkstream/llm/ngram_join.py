@@ -20,7 +20,9 @@ or expanded to all pairs. Star edges are verified exactly on the documents'
 shingle sets. Where an edge of a signature fails and its ends stay in different
 components, the signature's documents are joined with each other across
 components and verified too, so no link between different texts is lost. Equal
-sets are classes: one document of each stands for all.
+sets are classes: one document of each stands for all. Before sets are compared,
+sizes and parity sketches (which differ in no more bits than the sets do in
+shingles) rule out pairs that can't be linked; they never rule out a link.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are linked with nothing; fewer than five words are one shingle;
@@ -45,6 +47,7 @@ _SEGMENT, _TOKEN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 INDEX, PROBE = 1, 2
 SHARED = 0.1  # how likely a shingle is to be shared by chance, for the costs
 PER_BUCKET = 400_000
+SKETCH = 8
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -171,15 +174,19 @@ def signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _stars(sig: np.ndarray, node: np.ndarray, role: np.ndarray):
-    """Runs of equal signatures: star edges (sig, least node, node) and one row of each signature with its joint role."""
+    """Runs of equal signatures: star edges (sig, least node, node, roles), and one row of each signature.
+
+    A row's role byte has the document's own role and, two bits up, the joint role of all it stands for;
+    an edge's has the node's role and, two bits up, that of the least node."""
     order = np.lexsort((node, sig))
     sig, node, role = sig[order], node[order], role[order]
     first = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, bool)
     at = np.flatnonzero(first)
-    joint = np.bitwise_or.reduceat(role, at) if len(at) else role
+    joint = np.bitwise_or.reduceat(role >> 2, at) if len(at) else role
     run = np.cumsum(first) - 1
     edge = node != node[at][run]
-    return (sig[edge], node[at][run][edge], node[edge]), (sig[at], node[at], joint)
+    roles = (role & 3) | (role[at][run] & 3) << 2
+    return (sig[edge], node[at][run][edge], node[edge], roles[edge]), (sig[at], node[at], (role[at] & 3) | joint << 2)
 
 
 _BLOB = "bucket long, sig binary, node binary, role binary, lead binary"
@@ -194,9 +201,9 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             sig, node, role = (np.concatenate(x) for x in zip(*held))
-            (es, el, en), (sig, node, role) = _stars(sig, node, role)
+            (es, el, en, er), (sig, node, role) = _stars(sig, node, role | role << 2)
             out = []
-            for s, a, r, l in ((sig, node, role, None), (es, en, np.zeros(len(es), np.uint8), el)):
+            for s, a, r, l in ((sig, node, role, None), (es, en, er, el)):
                 b = (s % U(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
                 b, s, a, r = b[order], s[order], a[order], r[order]
@@ -229,27 +236,43 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _runs(blobs: DataFrame) -> DataFrame:
-    """(sig, lead, node) star edges of all signatures that meet an indexed and a probing document."""
+    """(sig, lead, node, roles) star edges of all signatures that meet an indexed and a probing document."""
 
     def run(table: pa.Table) -> pa.Table:
-        sig, node, role, es, el, en = [], [], [], [], [], []
+        none = np.zeros(0, np.int64)
+        rows, edges = [(none.astype(U), none, none.astype(np.uint8))], [(none.astype(U), none, none, none.astype(np.uint8))]
         for s, a, r, l in zip(*(table.column(c).to_pylist() for c in ("sig", "node", "role", "lead"))):
-            s, a = np.frombuffer(s, U), np.frombuffer(a, np.int64)
+            s, a, r = np.frombuffer(s, U), np.frombuffer(a, np.int64), np.frombuffer(r, np.uint8)
             if l:
-                es.append(s), el.append(np.frombuffer(l, np.int64)), en.append(a)
+                edges.append((s, np.frombuffer(l, np.int64), a, r))
             else:
-                sig.append(s), node.append(a), role.append(np.frombuffer(r, np.uint8))
-        none = np.zeros(0, np.int64)
-        edges = (none.astype(U), none, none)
-        if sig:
-            edges, (s, _, joint) = _stars(*(np.concatenate(x) for x in (sig, node, role)))
-            edges = tuple(np.concatenate((a, *b)) for a, b in zip(edges, (es, el, en)))
-            live = joint == INDEX | PROBE
-            at = np.minimum(np.searchsorted(s, edges[0]), len(s) - 1)
-            edges = tuple(x[live[at]] for x in edges)
-        return pa.table({"sig": edges[0].view(np.int64), "lead": edges[1], "node": edges[2]})
+                rows.append((s, a, r))
+        more, (s, _, role) = _stars(*(np.concatenate(x) for x in zip(*rows)))
+        e = [np.concatenate(x) for x in zip(more, *edges)]
+        if len(s):
+            live = role >> 2 == INDEX | PROBE
+            at = np.minimum(np.searchsorted(s, e[0]), len(s) - 1)
+            e = [x[live[at]] for x in e]
+        return pa.table({"sig": e[0].view(np.int64), "lead": e[1], "node": e[2], "roles": e[3].astype(np.int32)})
+
+    return blobs.groupBy("bucket").applyInArrow(run, "sig long, lead long, node long, roles int")
+
 
-    return blobs.groupBy("bucket").applyInArrow(run, "sig long, lead long, node long")
+def _sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SKETCH words of 64 bits for each set: the parity of the shingles in each of 64 * SKETCH cells.
+    Two sketches differ in no more bits than their sets in shingles, so they can rule a link out."""
+    cells = 64 * SKETCH
+    h = mix(flat ^ _TOKEN)
+    cell = (h % U(cells)).astype(np.int64) + np.repeat(np.arange(len(sizes)), sizes) * cells
+    odd = (np.bincount(cell, minlength=len(sizes) * cells) & 1).astype(np.uint8).reshape(len(sizes), cells)
+    return np.packbits(odd, axis=1).view("<i8")
+
+
+def _may_link(a: str, b: str, percent: int):
+    """A column: sizes and sketches of the rows ``a`` and ``b`` leave a link possible. Exact; it never rules out a link."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differ * 9 <= na + nb)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -280,6 +303,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    pairs = staged(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = staged(docs.join(needed, "doc_id", "left_semi").distinct(), "candidates")
+    return _verify(pairs, texts, percent)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -287,9 +319,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
             for lo, hi in pieces(off, 1 << 20):
                 flat, sizes = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 h1, h2 = set_keys(flat, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(h1), pa.array(h2)], names=["doc_id", "n_shingles", "h1", "h2"])
+                sketch = _sketches(flat, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(h1), pa.array(h2), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH))],
+                    names=["doc_id", "n_shingles", "h1", "h2", *(f"s{k}" for k in range(SKETCH))],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
 def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -301,43 +337,57 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     stats = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     buckets = max(1, -(-int(stats[0]) // PER_BUCKET))
     classes = keyed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = staged(keyed.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "classes")
+    members = staged(keyed.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep"), "classes")
+    sets = staged(
+        keyed.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+        .select("doc_id", F.col("n_shingles").alias("n"), *[f"s{k}" for k in range(SKETCH)]).distinct(),
+        "sketches",
+    )
     raw = staged(_runs(_emit(docs, buckets)), "runs")
-    rep = members.select("doc_id", "rep")
+    lead_role, node_role = F.shiftright("roles", 2), F.col("roles").bitwiseAND(3)
     edges = (
-        raw.join(rep.select(F.col("doc_id").alias("lead"), F.col("rep").alias("u")), "lead")
-        .join(rep.select(F.col("doc_id").alias("node"), F.col("rep").alias("v")), "node")
-        .where("u <> v").select("sig", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        raw.join(members.select(F.col("doc_id").alias("lead"), F.col("rep").alias("a")), "lead")
+        .join(members.select(F.col("doc_id").alias("node"), F.col("rep").alias("b")), "node")
+        .where("a <> b")
+        .select("sig", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"),
+                F.when(F.col("a") < F.col("b"), lead_role).otherwise(node_role).alias("ru"), F.when(F.col("a") < F.col("b"), node_role).otherwise(lead_role).alias("rv"))
+        .distinct()
     )
     edges = staged(edges, "edges")
-    needed = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = staged(docs.join(needed, "doc_id", "left_semi").distinct(), "candidates")
-    good = staged(_verify(edges.select("u", "v").distinct(), texts, percent), "verified")
+
+    def meet(x, y):
+        return (F.col(x).bitwiseAND(INDEX) > 0) & (F.col(y).bitwiseAND(PROBE) > 0) | (F.col(x).bitwiseAND(PROBE) > 0) & (F.col(y).bitwiseAND(INDEX) > 0)
+
+    pairs = (
+        edges.where(meet("ru", "rv")).select("u", "v").distinct()
+        .join(sets.alias("x"), F.col("u") == F.col("x.doc_id")).join(sets.alias("y"), F.col("v") == F.col("y.doc_id"))
+        .where(_may_link("x", "y", percent)).select("u", "v")
+    )
+    good = staged(_verified(pairs, docs, percent), "verified")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     group = staged(components(good.unionByName(copies)), "components")
-    # signatures with an edge that failed and whose ends are still apart: their documents meet across components
+    # signatures with an edge that isn't a link and whose ends are still apart: their documents meet across components
     apart = (
         edges.join(good, ["u", "v"], "left_anti")
         .join(group.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(group.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-        .where("coalesce(cu, u) <> coalesce(cv, v)").select("sig").distinct()
+        .where("coalesce(cu, u) <> coalesce(cv, v)").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     )
     open_edges = edges.join(apart, "sig", "left_semi")
-    size = members.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     ends = (
-        open_edges.select("sig", F.explode(F.array("u", "v")).alias("node")).distinct()
-        .join(size, F.col("node") == F.col("rep")).join(group, "node", "left")
-        .select("sig", "node", "n", F.coalesce("component", "node").alias("component"))
+        open_edges.select("sig", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("role")), F.struct(F.col("v").alias("node"), F.col("rv").alias("role")))))
+        .groupBy("sig", "node").agg(F.bit_or("role").alias("role"))
+        .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id").join(group, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
     ends = staged(ends, "open")
     x, y = ends.alias("x"), ends.alias("y")
     more = (
         x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-               & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
+               & meet("x.role", "y.role") & _may_link("x", "y", percent))
         .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-        .join(edges.select("u", "v").distinct(), ["u", "v"], "left_anti")
     )
-    more = staged(_verify(more, texts, percent), "verified-across")
+    more = staged(_verified(more, docs, percent), "verified-across")
     if not more.isEmpty():
         group = staged(components(good.unionByName(more).unionByName(copies)), "components")
     return keyed.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
