@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, edit_fingerprint, line_dedup, lm_scoring, media, mixing, ngram_join, packing, toxicity
+from . import chat, edit_fingerprint, html_crf, line_dedup, lm_scoring, media, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_edit_fingerprint": edit_fingerprint.op6,
     "op7_lm_scoring": lm_scoring.op7,
+    "op8_html_extraction": html_crf.op8,
     "op9_mix_sources": mixing.op9,
     "op10_media_columns": media.op10,
 }
