@@ -26,7 +26,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def rotate(turns: DataFrame, block: int = 64) -> DataFrame:
     t = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / block).alias("block"),
+        F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).alias("block"),
     )
     seats = t.where(F.col("role") != "system").select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
     own = F.col("role") == F.col("perspective")

@@ -39,12 +39,11 @@ atexit.register(_sweep)
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so
-    a lost executor costs a re-read and never a recomputation."""
+    a lost executor costs a re-read and never a recomputation. The tables go when
+    the driver's process ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/inkstream/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _STAGED:
-        pass
     _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
