@@ -18,8 +18,9 @@ document, other document). A task that holds a signature many times sends one
 of its documents on and the others as star edges, so no group is ever gathered
 or expanded to all pairs. Star edges are verified exactly on the documents'
 shingle sets. Where an edge of a signature fails and its ends stay in different
-components, the signature's documents are joined with each other across
-components and verified too, so no link between different texts is lost. Equal
+components, two more stars around other documents are verified, and then the
+signature's documents are joined with each other across components, so no link
+between different texts is lost. Equal
 sets are classes: one document of each stands for all. Before sets are compared,
 sizes and parity sketches (which differ in no more bits than the sets do in
 shingles) rule out pairs that can't be linked; they never rule out a link.
@@ -47,7 +48,9 @@ _SEGMENT, _TOKEN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 INDEX, PROBE = 1, 2
 SHARED = 0.1  # how likely a shingle is to be shared by chance, for the costs
 PER_BUCKET = 400_000
-SKETCH = 8
+SKETCH = 16
+STARS = 2
+FEW = 1_000_000
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +310,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    needed = staged(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "needed")
+    if needed.count() <= FEW:  # 8 bytes each; more than that are joined by a shuffle
+        needed = F.broadcast(needed)
     texts = staged(docs.join(needed, "doc_id", "left_semi").distinct(), "candidates")
     return _verify(pairs, texts, percent)
 
@@ -366,30 +371,36 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     good = staged(_verified(pairs, docs, percent), "verified")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     group = staged(components(good.unionByName(copies)), "components")
-    # signatures with an edge that isn't a link and whose ends are still apart: their documents meet across components
+    # signatures with an edge that isn't a link and whose ends are still apart stay open
     apart = (
         edges.join(good, ["u", "v"], "left_anti")
         .join(group.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(group.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
         .where("coalesce(cu, u) <> coalesce(cv, v)").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     )
-    open_edges = edges.join(apart, "sig", "left_semi")
     ends = (
-        open_edges.select("sig", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("role")), F.struct(F.col("v").alias("node"), F.col("rv").alias("role")))))
+        edges.join(apart, "sig", "left_semi")
+        .select("sig", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("role")), F.struct(F.col("v").alias("node"), F.col("rv").alias("role")))))
         .groupBy("sig", "node").agg(F.bit_or("role").alias("role"))
-        .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id").join(group, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
+        .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id")
     )
     ends = staged(ends, "open")
-    x, y = ends.alias("x"), ends.alias("y")
-    more = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-               & meet("x.role", "y.role") & _may_link("x", "y", percent))
-        .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    )
-    more = staged(_verified(more, docs, percent), "verified-across")
-    if not more.isEmpty():
-        group = staged(components(good.unionByName(more).unionByName(copies)), "components")
+    for turn in range(STARS + 1):
+        now = ends.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        x, y = now.alias("x"), now.alias("y")
+        if turn < STARS:  # another star, around a document that a hash picks
+            lead = now.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "role", "n", "component", *[f"s{k}" for k in range(SKETCH)])).alias("lead")).select("sig", "lead.*")
+            x, other = lead.alias("x"), F.col("x.node") != F.col("y.node")
+        else:  # what is still apart: all of it, across components
+            other = F.col("x.node") < F.col("y.node")
+        more = (
+            x.join(y, (F.col("x.sig") == F.col("y.sig")) & other & (F.col("x.component") != F.col("y.component")) & meet("x.role", "y.role") & _may_link("x", "y", percent))
+            .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+        )
+        more = staged(_verified(more, docs, percent), "verified-across")
+        if not more.isEmpty():
+            good = good.unionByName(more)
+            group = staged(components(good.unionByName(copies)), "components")
     return keyed.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
