@@ -1,5 +1,7 @@
-"""Connected components of a table of links, by large-star and small-star steps.
+"""Connected components of a table of links.
 
+Up to ``FEW`` links (16 bytes each; counted first) are united in one task. More
+than that, whatever their number, are joined by large-star and small-star steps.
 Each step is a join of the links with the least neighbour of each node; nothing
 but two numbers (count and checksum, to see that nothing changed) reaches the
 driver. The links after each step are a written table, so lineage stays short.
@@ -7,10 +9,37 @@ driver. The links after each step are a written table, so lineage stays short.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import staged
 
+FEW = 1_000_000
+
+
+def _unite(batches):
+    """Union by least node over all links of the task."""
+    parts = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, flat = np.unique(np.concatenate(parts, 1), return_inverse=True)
+    u, v = flat.reshape(2, -1)
+    parent = np.arange(len(nodes)).tolist()
+    for a, b in zip(u.tolist(), v.tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        parent[max(a, b)] = min(a, b)
+    root = np.array(parent)
+    while (root[root] != root).any():
+        root = root[root]
+    linked = np.bincount(root, minlength=len(nodes))[root] > 1
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["node", "component"])
+
 
 def _linked(df: DataFrame) -> DataFrame:
     return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -27,8 +56,10 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _linked(links.join(least, "u").select("v", "m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node. ``links`` has long columns u, v."""
+    if links.count() <= few:
+        return links.select("u", "v").repartition(1).mapInArrow(_unite, "node long, component long")
     now, sign = staged(_linked(links), "links"), None
     while True:
         r = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -49,7 +49,7 @@ INDEX, PROBE = 1, 2
 SHARED = 0.1  # how likely a shingle is to be shared by chance, for the costs
 PER_BUCKET = 400_000
 SKETCH = 16
-STARS = 2
+STARS = 3
 FEW = 1_000_000
 
 
@@ -306,15 +306,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """The pairs that are links, as a written table; None if there are no pairs."""
     pairs = staged(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    needed = staged(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "needed")
-    if needed.count() <= FEW:  # 8 bytes each; more than that are joined by a shuffle
+    n = pairs.count()
+    if not n:
+        return None
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    if n <= FEW:  # 16 bytes a pair; more than that are joined by a shuffle
         needed = F.broadcast(needed)
     texts = staged(docs.join(needed, "doc_id", "left_semi").distinct(), "candidates")
-    return _verify(pairs, texts, percent)
+    return staged(_verify(pairs, texts, percent), "verified")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -337,6 +339,7 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     if percent != 80:
         raise ValueError("the bands and bounds here are those of a similarity of 0.8")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = staged(_keyed(docs), "sets")
     stats = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
@@ -368,8 +371,10 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         .join(sets.alias("x"), F.col("u") == F.col("x.doc_id")).join(sets.alias("y"), F.col("v") == F.col("y.doc_id"))
         .where(_may_link("x", "y", percent)).select("u", "v")
     )
-    good = staged(_verified(pairs, docs, percent), "verified")
-    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    good = _verified(pairs, docs, percent)
+    if good is None:
+        good = spark.createDataFrame([], "u long, v long")
+    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     group = staged(components(good.unionByName(copies)), "components")
     # signatures with an edge that isn't a link and whose ends are still apart stay open
     apart = (
@@ -385,20 +390,21 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id")
     )
     ends = staged(ends, "open")
-    for turn in range(STARS + 1):
+    for across in (False, True):
         now = ends.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         x, y = now.alias("x"), now.alias("y")
-        if turn < STARS:  # another star, around a document that a hash picks
-            lead = now.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "role", "n", "component", *[f"s{k}" for k in range(SKETCH)])).alias("lead")).select("sig", "lead.*")
-            x, other = lead.alias("x"), F.col("x.node") != F.col("y.node")
-        else:  # what is still apart: all of it, across components
+        if across:  # what is still apart: all of it, across components
             other = F.col("x.node") < F.col("y.node")
+        else:  # more stars, around documents that hashes pick
+            fields = ["node", "role", "n", "component", *[f"s{k}" for k in range(SKETCH)]]
+            leads = now.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), *fields)).alias(f"lead{k}") for k in range(STARS)])
+            x, other = leads.select("sig", F.inline(F.array(*[f"lead{k}" for k in range(STARS)]))).alias("x"), F.col("x.node") != F.col("y.node")
         more = (
             x.join(y, (F.col("x.sig") == F.col("y.sig")) & other & (F.col("x.component") != F.col("y.component")) & meet("x.role", "y.role") & _may_link("x", "y", percent))
             .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
         )
-        more = staged(_verified(more, docs, percent), "verified-across")
-        if not more.isEmpty():
+        more = _verified(more, docs, percent)
+        if more is not None:
             good = good.unionByName(more)
             group = staged(components(good.unionByName(copies)), "components")
     return keyed.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
