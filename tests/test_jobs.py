@@ -42,7 +42,7 @@ def test_combine_and_convert(spark, tmp_path):
 
 
 def test_source_names():
-    assert publish.source_name("/x/fda_rag/processed-json") == "fda_oncology"
+    assert publish.source_name("/x/fda-site/processed-json") == "fda_oncology"
     assert publish.source_name("/x/reports/data/processed") == "reports" and publish.source_name("/data/data/data/data") == "fda_oncology"
     assert publish.source_name("/a/reports") == "reports"
 
