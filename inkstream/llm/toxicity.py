@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .shared import pieces, staged, text_column
 from .textscan import LOWER, U, _SPACE, words
@@ -284,7 +284,7 @@ def scored(docs: DataFrame, detector: Detector) -> DataFrame:
     """All columns of ``docs`` in the struct ``row``, and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(detector)
     packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
+    schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -293,7 +293,7 @@ def scored(docs: DataFrame, detector: Detector) -> DataFrame:
                 s = sent.value.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return packed.mapInArrow(run, f"row {row}, score double")
+    return packed.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

@@ -26,7 +26,7 @@ def documents(spark, rows=None):
     return spark.createDataFrame(awkward() if rows is None else rows, DOCS)
 
 
-CLASHING = ("row", "size", "score", "rank", "bucket", "copies", "u", "v", "key", "doc", "text_hash", "spans", "kept", "row_id", "sig", "salt", "length", "rep")
+CLASHING = ("row", "size", "score", "rank", "bucket", "copies", "u", "v", "key", "doc", "text_hash", "spans", "kept", "row_id", "sig", "salt", "length", "rep", "odd name: x")
 
 
 def clashing(df):
