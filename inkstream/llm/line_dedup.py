@@ -35,7 +35,6 @@ from .textscan import U, hash_ranges, mix, words
 
 RUN_WORDS, GRAM_WORDS = 50, 25
 _BASE = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
-_PLACE = "h1 long, h2 long, s int, e int"
 
 
 def _inverse(x: int) -> int:
@@ -129,7 +128,7 @@ def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
                     names=["key", "doc", "text_hash", "places"],
                 )
 
-    return docs.select("doc", "text_hash", "text").mapInArrow(run, f"key long, doc long, text_hash long, places array<struct<h1:long,h2:long,s:int,e:int>>")
+    return docs.select("doc", "text_hash", "text").mapInArrow(run, "key long, doc long, text_hash long, places array<struct<h1:long,h2:long,s:int,e:int>>")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

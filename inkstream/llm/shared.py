@@ -48,10 +48,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
-
-
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty; no copy of the text
     where Arrow allows it. offsets has one entry more than the column."""
