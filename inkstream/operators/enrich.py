@@ -17,8 +17,8 @@ def lookup(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     A search over free text has no counterpart in a table lookup and isn't offered."""
     by_doi = catalogue.groupBy(S.normalize_doi(F.col("doi")).alias("_doi")).agg(F.min_by(F.struct("*"), "pmid").alias("_by_doi")).where("_doi <> ''")
-    by_title = catalogue.groupBy(S.normalize_title(S.search_title(F.col("title"))).alias("_title")).agg(F.min_by(F.struct("*"), "pmid").alias("_by_title")).where("_title <> ''")
-    keyed = docs.withColumn("_doi", S.normalize_doi(F.col("doi"))).withColumn("_title", S.normalize_title(S.search_title(F.col("title"))))
+    by_title = catalogue.groupBy(S.strip(S.normalize_title(S.search_title(F.col("title")))).alias("_title")).agg(F.min_by(F.struct("*"), "pmid").alias("_by_title")).where("_title <> ''")
+    keyed = docs.withColumn("_doi", S.normalize_doi(F.col("doi"))).withColumn("_title", S.strip(S.normalize_title(S.search_title(F.col("title")))))
     found = keyed.join(by_doi, "_doi", "left").join(by_title, "_title", "left")
     return found.withColumn("hit", F.coalesce("_by_doi", "_by_title")).drop("_doi", "_title", "_by_doi", "_by_title")
 

@@ -473,7 +473,6 @@ def web_objects(spark, d):
 
 
 _HAS = {k: cond for k, cond, _ in WEB_KEYS}
-_VALUE = {k: v for k, _, v in WEB_KEYS}
 _CONTENT = f"CASE WHEN {_HAS['Corpus']} THEN text WHEN {_HAS['Description']} THEN lang ELSE '' END"
 WEB_SQL = f"""
 SELECT doc_id, {_put(STRIP, _put(UNESCAPE_SQL, _put(IMAGES_SQL, _put(UNWRAP_SQL, 'content'))))} AS content, 'web' AS source, url, date, '1.0' AS version, title, description, rag_id

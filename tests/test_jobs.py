@@ -104,3 +104,35 @@ def test_numbering_and_empty_tables(spark):
     assert [r.position for r in delta.numbered(df, "x").orderBy("x").collect()] == list(range(1, 101))
     assert delta.numbered(df.limit(0), "x").count() == 0
     assert delta.append(df, None).count() == 100 and tables.read_master(spark, "/tmp/no-such-table") is None
+
+
+def test_enrichment_run(spark):
+    catalogue = spark.createDataFrame([("7", "A Title", "10.1/a", ["L, F"], "J", "2001"), ("9", "A title", None, [], "K", "2002")], "pmid string, title string, doi string, authors array<string>, journal string, year string")
+    docs = spark.createDataFrame([("a", "x", "https://doi.org/10.1/A", "text"), ("b", "A title!", None, "text"), ("c", None, None, "text"), ("d", "x", None, ""), ("e", "x", None, "text")], "stem string, title string, doi string, corpus string")
+    done = spark.createDataFrame([("e",)], "stem string")
+    good, bad = jobs.enrich_documents(spark, docs, done, catalogue)
+    rows = {r.stem: (r.Title, r.Citation, r.Link) for r in good.collect()}
+    assert rows["a"] == ("A Title", "L, F. (2001). A Title. J. https://doi.org/10.1/a", "https://doi.org/10.1/a")
+    assert rows["b"] == ("A Title", "L, F. (2001). A Title. J. https://doi.org/10.1/a", f"{enrich.PAGE}/7")
+    assert rows["c"] == ("Unknown Title", "Document. Unknown Title. (Unverified)", enrich.PAGE) and set(rows) == {"a", "b", "c"}
+    assert [(r.stem, r.reason) for r in bad.collect()] == [("d", "Corpus is empty")]
+
+
+def test_small_operators(spark, tmp_path):
+    from inkstream import schemas
+    from inkstream.functions import scalars as S
+
+    old = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, text string")
+    new = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], old.schema)
+    assert sorted(r.k for r in delta.changed_rows(new, old, "k", "text").collect()) == ["b", "c"]
+    publish.write_json_lines(new, str(tmp_path / "j"), ["k"])
+    assert [json.loads(r.value)["k"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ["a", "b", "c"]
+    both = delta.append(new.limit(1), old)
+    assert [r.batch_no for r in tables.newest_first(both, "k").collect()] == [1, 0, 0]
+    names = spark.createDataFrame([("L", "F"), ("L", None), (None, "F")], "l string, f string").select(S.author_name(F.col("l"), F.col("f")).alias("n"))
+    assert [r.n for r in names.collect()] == ["L, F", "L", None]
+    put(tmp_path / "o" / "x.json", [{"a": 1}, {"a": 2}])
+    put(tmp_path / "o" / "sub" / "x.json", {"a": 3})
+    assert [tuple(r) for r in jobs.objects_per_file(spark, str(tmp_path / "o")).collect()] == [("x.json", 3)]
+    for s in (schemas.LISTING, schemas.CLEAN, schemas.MANIFEST, schemas.WEB_RECORD, schemas.EXTRACTED, schemas.PDF_RECORD, schemas.PROBLEM, schemas.ENRICHED):
+        assert spark.createDataFrame([], s).count() == 0
