@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import released
+
 # fixed values: elements that begin a new block, that have no end tag, and whose content isn't text
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
@@ -429,7 +431,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
                 texts = [main_text(h.as_py(), sent.value) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(released(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import pieces, staged, text_column
+from .shared import pieces, released, staged, text_column
 from .textscan import U, hash_ranges, mix, words
 
 RUN_WORDS, GRAM_WORDS = 50, 25
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     def run(batches):
         for batch in batches:
             buf, off = text_column(batch.column(2))
-            for lo, hi in pieces(off, 2 << 20):
+            for lo, hi in pieces(off, 1 << 20):
                 row, key, h1, h2, s, e = windows(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], run_words, gram_words)
                 order = np.lexsort((s, key, row))
                 row, key, h1, h2, s, e = (x[order] for x in (row, key, h1, h2, s, e))
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
                     names=["key", "doc", "text_hash", "places"],
                 )
 
-    return docs.select("doc", "text_hash", "text").mapInArrow(run, "key long, doc long, text_hash long, places array<struct<h1:long,h2:long,s:int,e:int>>")
+    return docs.select("doc", "text_hash", "text").mapInArrow(released(run), "key long, doc long, text_hash long, places array<struct<h1:long,h2:long,s:int,e:int>>")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import staged, text_column
+from .shared import released, staged, text_column
 
 WIDTH = 576
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
@@ -106,7 +106,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x) for x in part.column(1).to_pylist()], pa.list_(item))], names=[key, "items"])
 
-    return pages.select(key, F.col(html).cast("string")).mapInArrow(run, f"`{key}` {kind}, items array<{ITEM}>")
+    return pages.select(key, F.col(html).cast("string")).mapInArrow(released(run), f"`{key}` {kind}, items array<{ITEM}>")
 
 
 def png(payload: bytes) -> bytes:
@@ -177,7 +177,7 @@ def store(docs: DataFrame) -> DataFrame:
                     digests, media, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return staged(docs.select(F.col("text").cast("string")).mapInArrow(run, "digest string, media binary"), "media")
+    return staged(docs.select(F.col("text").cast("string")).mapInArrow(released(run), "digest string, media binary"), "media")
 
 
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -196,7 +196,7 @@ def features(stored: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return stored.mapInArrow(run, FEATURES).dropDuplicates(["digest"])
+    return stored.mapInArrow(released(run), FEATURES).dropDuplicates(["digest"])
 
 
 def resolve(sequences: DataFrame, key: str, stored: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def figures(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(page, pa.string())], names=["doc_id", "html"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, html string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, html string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

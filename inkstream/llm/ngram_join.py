@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import pieces, staged, text_column
+from .shared import pieces, released, staged, text_column
 from .textscan import U, mix, stream, words
 
 NGRAM = 5
@@ -229,13 +229,13 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
                 row, sig, role = signatures(flat, sizes)
                 held.append((sig, ids[lo + row], role))
                 size += len(sig)
-                if size > 1_500_000:
+                if size > 750_000:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _BLOB)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), _BLOB)
 
 
 def _runs(blobs: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = []
             cols = [text_column(batch.column(k)) for k in (2, 3)]
             both = cols[0][1] + cols[1][1]
-            for lo, hi in pieces(both, 2 << 20):
+            for lo, hi in pieces(both, 1 << 20):
                 sets = []
                 for buf, off in cols:
                     flat, sizes = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
@@ -303,7 +303,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         keep.append(lo + r)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["u", "v"])
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(released(run), "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -332,7 +332,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "h1", "h2", *(f"s{k}" for k in range(SKETCH))],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
 def linked(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
-from .shared import staged, text_column
+from .shared import released, staged, text_column
 
 WINDOW = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -65,7 +65,7 @@ def cut(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: str |
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), PIECES)
 
 
 def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

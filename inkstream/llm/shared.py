@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -48,6 +49,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """``run`` over a task's batches, after which the worker gives its freed memory back to the system.
+
+    Workers live on between tasks and stages; what their allocators hold back would count against
+    the executor while others work."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return call
+
+
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty; no copy of the text
     where Arrow allows it. offsets has one entry more than the column."""

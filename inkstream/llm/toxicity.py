@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .shared import pieces, staged, text_column
+from .shared import pieces, released, staged, text_column
 from .textscan import LOWER, U, _SPACE, words
 
 APART = _SPACE.copy()
@@ -216,7 +216,7 @@ def _sample_words(sample: DataFrame):
         for b in batches:
             buf, off = text_column(b.column(0))
             slot = np.asarray(b.column(1).to_pylist(), np.int64)
-            for lo, hi in pieces(off, 2 << 20):
+            for lo, hi in pieces(off, 1 << 20):
                 o = off[lo : hi + 1] - off[lo]
                 part = LOWER[buf[off[lo] : off[hi]]]
                 w = words(part, o, apart=APART)
@@ -227,7 +227,7 @@ def _sample_words(sample: DataFrame):
                     names=["word", "slot"],
                 )
 
-    return sample.select("text", "slot").mapInArrow(run, "word binary, slot int").groupBy("word").agg(
+    return sample.select("text", "slot").mapInArrow(released(run), "word binary, slot int").groupBy("word").agg(
         *[F.count_if(F.col("slot") == i).cast("int").alias(f"n{i}") for i in range(2 * FOLDS)]
     )
 
@@ -268,10 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, per_class:
         def run(batches, sent=sent):
             for b in batches:
                 if b.num_rows:
-                    x = np.vstack([measures(sent.value, buf[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]) for buf, o in [text_column(b.column(0))] for lo, hi in pieces(o, 2 << 20)])
+                    x = np.vstack([measures(sent.value, buf[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]) for buf, o in [text_column(b.column(0))] for lo, hi in pieces(o, 1 << 20)])
                     yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(MEASURES))], names=["toxic", *"abcde"])
 
-        found.append(sample.where(F.col("fold") == i).select("text", "toxic").mapInArrow(run, "toxic int, a double, b double, c double, d double, e double").toPandas())
+        found.append(sample.where(F.col("fold") == i).select("text", "toxic").mapInArrow(released(run), "toxic int, a double, b double, c double, d double, e double").toPandas())
         sent.unpersist()
     y = np.concatenate([f["toxic"].to_numpy() for f in found]).astype(float)
     x = np.vstack([f[[*"abcde"]].to_numpy() for f in found])
@@ -289,11 +289,11 @@ def scored(docs: DataFrame, detector: Detector) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, off = text_column(b.column(1))
-            for lo, hi in pieces(off, 2 << 20):
+            for lo, hi in pieces(off, 1 << 20):
                 s = sent.value.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(released(run), schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
@@ -311,10 +311,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, off = text_column(b.column(1))
-            for lo, hi in pieces(off, 2 << 20):
+            for lo, hi in pieces(off, 1 << 20):
                 s = sent.value.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double").select(
+    return docs.mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
