@@ -81,8 +81,11 @@ def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         s, k = start[full], size[full]
         at = np.zeros(len(k), np.int64)
         np.cumsum(k[:-1], out=at[1:])
-        pos = np.arange(int(k.sum()), dtype=np.int64) - np.repeat(at, k)
-        src = pos + np.repeat(s, k)
+        kind = np.int32 if len(buf) < 1 << 31 else np.int64  # half the memory where that is enough
+        pos = np.arange(int(k.sum()), dtype=kind)
+        pos -= np.repeat(at.astype(kind), k)
+        src = np.repeat(s.astype(kind), k)
+        src += pos
         with np.errstate(over="ignore"):
             out[full] = np.add.reduceat(_BYTE[buf[src]] * _place(int(k.max()))[pos], at)
     with np.errstate(over="ignore"):

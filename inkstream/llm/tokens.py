@@ -18,7 +18,7 @@ from .shared import pieces
 from .textscan import _SPACE, hash_ranges
 
 KEPT = 1_000_000  # distinct parts kept in a worker; beyond it the store starts anew
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 
 
 def load(path: str | None = None):
