@@ -109,13 +109,14 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
     return out
 
 
-def pack(parts: DataFrame, window: int = WINDOW, bucket_rows: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, window: int = WINDOW, bucket_rows: int = 500) -> DataFrame:
     """``parts`` (with doc_id, piece, start, length, ids_crc32) plus sequence_id and offset."""
     spark = parts.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= window rows
-    buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
     slots = plan(histogram, window)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # a length is dealt to as many buckets as its count asks for; at most ``window`` rows of two numbers
+    dealt = spark.createDataFrame([(n, -(-c // bucket_rows)) for n, c in histogram.items()] or [(0, 1)], "length long, buckets long")
+    salted = parts.join(F.broadcast(dealt), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     earlier = counts.select("length", "salt", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
