@@ -376,12 +376,13 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         good = spark.createDataFrame([], "u long, v long")
     copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     group = staged(components(good.unionByName(copies)), "components")
-    # signatures with an edge that isn't a link and whose ends are still apart stay open
+    # signatures of more than two documents with an edge that isn't a link and whose ends are still apart stay open
+    many = edges.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     apart = (
         edges.join(good, ["u", "v"], "left_anti")
         .join(group.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(group.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-        .where("coalesce(cu, u) <> coalesce(cv, v)").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+        .where("coalesce(cu, u) <> coalesce(cv, v)").select("sig").distinct().join(many, "sig", "left_semi")
     )
     ends = (
         edges.join(apart, "sig", "left_semi")

@@ -77,6 +77,17 @@ def test_one_large_family_and_a_common_passage(spark):
     assert got == brute([r[:2] for r in rows])
 
 
+def test_short_chains_whose_ends_are_not_linked(spark):
+    rows = []
+    for k in range(40):
+        b = prose(3000 + k, 14, 10_000).split()
+        texts = [b[:-1] + ["last"], b, ["first"] + b[1:]]
+        for i, j in enumerate([(0, 1, 2), (1, 0, 2), (0, 2, 1)][k % 3]):
+            rows.append((10 * k + i, " ".join(texts[j]), "en", "s", 1))
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(documents(spark, rows)).collect()}
+    assert got == brute([r[:2] for r in rows]) == {i: i - i % 10 for i, *_ in rows}
+
+
 def test_bounds_of_the_bands():
     for n in (4, 5, 9, 10, 99, 1000, 12345):
         band = int(np.searchsorted(ngram_join.EDGES, n, "right")) - 1
