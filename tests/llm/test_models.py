@@ -133,6 +133,20 @@ def test_base_scores_are_exact(spark, monkeypatch, hot):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_scores_mix_all_known_words_alike(spark, monkeypatch):
+    fit, short, found = lm_scoring.train, lambda n, ids, sizes: fit(n, ids, sizes, steps=20), []
+    monkeypatch.setattr(lm_scoring, "train", short)
+    rows = awkward() + [(100 + i, prose(i, 60, 50), "en", "s", 1) for i in range(60)]
+    docs = documents(spark, rows)
+    for hot in (200_000, 20, 0):
+        monkeypatch.setattr(lm_scoring, "HOT", hot)
+        got = lm_scoring.scores(docs).select("doc_id", "n_tokens", "score").collect()
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in got))
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert np.allclose([x[2] for x in other], [x[2] for x in found[0]], rtol=1e-9)
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm_scoring.scores(documents(spark).limit(0)).count() == 0
 
