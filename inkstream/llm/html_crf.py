@@ -57,6 +57,10 @@ TELLING = frozenset("cookie cookies subscribe newsletter copyright advertisement
 _WORD = re.compile(r"[a-z]+")
 
 
+#: Elements that can stand in a head; any other start tag closes a head whose end tag is left out, and so does text.
+IN_HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -72,7 +76,17 @@ class _Blocks(HTMLParser):
                 self.blocks.append((tuple(self.path), text, min(1.0, self.linked / len(text))))
             self.text, self.linked = [], 0
 
+    def _close_head(self) -> None:
+        for i in (-1, -2):
+            if len(self.path) >= -i and self.path[i][0] == "head":
+                self._drop(len(self.path) + i)
+                return
+            if self.path and self.path[-1][0] != "noscript":
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._close_head()
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -117,12 +131,16 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.silent and self.path[-1][0] == "head" and data.strip():
+            self._close_head()
         if not self.silent:
             self.text.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
     def handle_startendtag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._close_head()
         if tag in VOID:
             self.handle_starttag(tag, attrs)
         elif tag in BLOCKS:

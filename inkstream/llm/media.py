@@ -34,12 +34,18 @@ MAGIC = b"\x89PNG\r\n\x1a\n"
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "article", "section", "figure", "br", "ul", "ol", "table", "tr", "blockquote", "pre"}
 
 
+#: Elements that can stand in a head and have content.
+_IN_HEAD = {"noscript", "script", "style", "template", "title"}
+
+
 class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
+        self.head = False  # open until its end tag, or until what can't stand in it
+        self.inside: str | None = None  # the element that is open in the head
         self.figure: list[int] = []  # for each open figure, where its items begin
         self.caption: list[str] | None = None
 
@@ -51,7 +57,14 @@ class _Sequence(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("script", "style", "head"):
+        if self.head and self.inside in (None, "noscript"):
+            if tag in _IN_HEAD:
+                self.inside = tag
+            elif tag not in ("base", "head", "link", "meta"):
+                self.head, self.inside = False, None
+        if tag == "head":
+            self.head = True
+        elif tag in ("script", "style"):
             self.skip += 1
         elif tag == "figcaption":
             self.flush()
@@ -67,7 +80,11 @@ class _Sequence(HTMLParser):
                 self.figure.append(len(self.items))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "head"):
+        if tag == "head":
+            self.head, self.inside = False, None
+        elif tag == self.inside:
+            self.inside = None
+        if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
             words = " ".join("".join(self.caption).split())
@@ -81,9 +98,11 @@ class _Sequence(HTMLParser):
                 self.figure.pop()
 
     def handle_data(self, data):
+        if self.head and self.inside is None and data.strip():
+            self.head = False
         if self.caption is not None:
             self.caption.append(data)
-        elif not self.skip:
+        elif not self.skip and not self.head:
             self.text.append(data)
 
 

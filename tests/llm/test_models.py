@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkstream.llm import html_crf, lm_scoring, toxicity
+from inkstream.llm import html_crf, lm_scoring, media, toxicity
 from inkstream.llm.shared import text_column
 
 from .helpers import awkward, clashing, documents, prose
@@ -249,6 +249,16 @@ def test_pages_of_the_table(spark, sf):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
+@pytest.mark.parametrize("start", ["<body><p>", "<p>", "<body>", "", "<noscript><link href=x></noscript><p>"])
+def test_head_without_an_end_tag(start):
+    page = f"<html><head><meta charset=x><title>A title</title><style>p {{}}</style>{start}Some text<p>More"
+    for html in (page, page.replace("</style>", "</style></head>")):
+        assert [b[1] for b in html_crf.blocks(html)] == ["Some text", "More"]
+        assert [x["text"] for x in media.parse(html)] == ["Some text", "More"]
+    assert [b[1] for b in html_crf.blocks("<head><template><p>no</template><title>no</title></head><p>yes")] == ["yes"]
+    assert [x["text"] for x in media.parse("<head><template><p>no</template><title>no</title></head><p>yes")] == ["yes"]
+
+
 def test_page_awkward_rows(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<article><h1>T &amp; U</h1><p>One  two&nbsp;three is a sentence.<p>And another one, with words.</article><script>x</script>"), (2, "v", "<div><p>" * 500 + "x"), (3, "w", "<<<&&& <p <b>>"), (4, "z", "plain " * 30_000)]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
