@@ -18,9 +18,13 @@ document, other document). A task that holds a signature many times sends one
 of its documents on and the others as star edges, so no group is ever gathered
 or expanded to all pairs. Star edges are verified exactly on the documents'
 shingle sets. Where an edge of a signature fails and its ends stay in different
-components, two more stars around other documents are verified, and then the
-signature's documents are joined with each other across components, so no link
-between different texts is lost. Equal
+components, the signature is open: more stars around other documents are
+verified, and then, if the signature has few documents, all its pairs across
+components. The documents of larger open signatures (sets that share a subset by
+chance, or a passage) are told apart by their rarest shingles, counted over these
+documents: two linked sets share one of the rarest fifth. Groups of such a
+shingle are followed in the same way; what is large and apart even then is
+compared block by block. So no link between different texts is lost. Equal
 sets are classes: one document of each stands for all. Before sets are compared,
 sizes and parity sketches (which differ in no more bits than the sets do in
 shingles) rule out pairs that can't be linked; they never rule out a link.
@@ -36,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
 from .shared import pieces, released, staged, text_column
@@ -49,7 +53,7 @@ INDEX, PROBE = 1, 2
 SHARED = 0.1  # how likely a shingle is to be shared by chance, for the costs
 PER_BUCKET = 400_000
 SKETCH = 16
-STARS = 3
+STARS, PER_SALT = 3, 500
 FEW = 1_000_000
 
 
@@ -335,8 +339,108 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
-def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs``."""
+def _small(keys: DataFrame) -> DataFrame:
+    """A written table of few columns of numbers, marked to be broadcast if it has ``FEW`` rows at most."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def _across(pairs: DataFrame, group: DataFrame, good: DataFrame, copies: DataFrame, docs: DataFrame, percent: int):
+    """Components and links after the pairs are verified."""
+    more = _verified(pairs, docs, percent)
+    if more is None:
+        return group, good
+    good = good.unionByName(more)
+    return staged(components(good.unionByName(copies)), "components"), good
+
+
+_FIELDS = ["node", "role", "n", "component", *[f"s{k}" for k in range(SKETCH)]]
+
+
+def _meet(x: str, y: str):
+    """A column: one of the two roles is of an indexed document, and the other of a probing one."""
+    return (F.col(x).bitwiseAND(INDEX) > 0) & (F.col(y).bitwiseAND(PROBE) > 0) | (F.col(x).bitwiseAND(PROBE) > 0) & (F.col(y).bitwiseAND(INDEX) > 0)
+
+
+def _candidates(x: DataFrame, y: DataFrame, on: list[str], which, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of the rows of x and y (aliased so) that agree on ``on``, are apart and may be links."""
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return (
+        x.join(y, same & which & (F.col("x.component") != F.col("y.component")) & _meet("x.role", "y.role") & _may_link("x", "y", percent))
+        .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+    )
+
+
+def _still_apart(ends: DataFrame, group: DataFrame) -> DataFrame:
+    """The rows of ``ends`` with their components and their signature's number of rows, of signatures with two components or more."""
+    now = ends.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = staged(now, "apart-ends")
+    sizes = now.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig", "members")
+    return now.join(_small(staged(sizes, "apart-sizes")), "sig")
+
+
+def _settle(ends: DataFrame, group: DataFrame, good: DataFrame, copies: DataFrame, docs: DataFrame, percent: int, upto: int):
+    """Follow open signatures: stars around documents that hashes pick, then all pairs of the signatures with ``upto``
+    documents at most. Returns components, links, and the rows of the larger signatures that are still apart (or None)."""
+    now = _still_apart(ends, group)
+    salts = F.ceil(F.col("members") / PER_SALT).cast("int")  # a signature's leads meet the others in so many groups
+    leads = now.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), *_FIELDS)).alias(f"lead{k}") for k in range(STARS)], F.max(salts).alias("salts"))
+    leads = leads.select("sig", "salts", F.inline(F.array(*[f"lead{k}" for k in range(STARS)]))).select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = now.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    stars = _candidates(leads.alias("x"), salted.alias("y"), ["sig", "salt"], F.col("x.node") != F.col("y.node"), percent)
+    group, good = _across(stars, group, good, copies, docs, percent)
+    now = staged(_still_apart(ends, group), "apart-ends")
+    few = now.where(F.col("members") <= upto)
+    group, good = _across(_candidates(few.alias("x"), few.alias("y"), ["sig"], F.col("x.node") < F.col("y.node"), percent), group, good, copies, docs, percent)
+    large = now.where(F.col("members") > upto).drop("component", "members")
+    if large.isEmpty():
+        return group, good, None
+    return group, good, staged(_still_apart(large, group), "large")
+
+
+def _prefixes(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, role) for the rarest shingles of the documents in ``large``: of n shingles the rarest
+    n - ceil(percent * n / 100) + 1, counted over these documents. Two linked sets share one of them at least."""
+
+    def run(batches):
+        for b in batches:
+            buf, off = text_column(b.column(1))
+            for lo, hi in pieces(off, 1 << 20):
+                flat, sizes = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                for at in range(0, len(flat), 500_000):
+                    rows = np.repeat(np.arange(lo, hi), sizes)[at : at + 500_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(flat[at : at + 500_000].view(np.int64)), pa.array(sizes[rows - lo])], names=["node", "h", "sig", "n"]
+                    )
+
+    nodes = staged(large.select(F.col("node").alias("doc_id")).distinct(), "large-nodes")
+    texts = docs.join(_small(nodes), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).distinct()
+    tokens = staged(texts.mapInArrow(released(run), "node long, h long, sig long, n long"), "large-shingles")
+    counts = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one document alone are its rarest; their number says how many of the others belong to the prefix
+    common = tokens.join(counts, "sig")
+    ranked = common.select("*", F.row_number().over(W.partitionBy("node", "h").orderBy(F.desc("df"), "sig")).alias("from_end"))
+    prefix = ranked.where(F.col("from_end") >= F.ceil(F.col("n") * percent / 100)).select("sig", "node").distinct()
+    return prefix.withColumn("role", F.lit(INDEX | PROBE))
+
+
+def _blocks(large: DataFrame, block: int) -> DataFrame:
+    """Pairs that may be links, across the components of signatures of any size: the rows are dealt into blocks of about
+    ``block`` rows and every two blocks are a group of their own, so that no task holds more than two blocks' rows of a signature."""
+    dealt = large.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    x = dealt.select("*", every).where("own <= other").withColumn("bx", F.col("own")).withColumn("by", F.col("other"))
+    y = dealt.select("*", every).where("other <= own").withColumn("bx", F.col("other")).withColumn("by", F.col("own"))
+    which = (F.col("x.bx") != F.col("x.by")) | (F.col("x.node") < F.col("y.node"))
+    return _candidates(x.alias("x"), y.alias("y"), ["sig", "bx", "by"], which, 80)
+
+
+def linked(docs: DataFrame, percent: int = 80, pairs_upto: int = 64, block: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs``.
+
+    Open signatures of up to ``pairs_upto`` documents are compared in pairs; ``block`` rows of a larger one stay together.
+    Both change the cost and never the result."""
     if percent != 80:
         raise ValueError("the bands and bounds here are those of a similarity of 0.8")
     spark = docs.sparkSession
@@ -363,11 +467,8 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     edges = staged(edges, "edges")
 
-    def meet(x, y):
-        return (F.col(x).bitwiseAND(INDEX) > 0) & (F.col(y).bitwiseAND(PROBE) > 0) | (F.col(x).bitwiseAND(PROBE) > 0) & (F.col(y).bitwiseAND(INDEX) > 0)
-
     pairs = (
-        edges.where(meet("ru", "rv")).select("u", "v").distinct()
+        edges.where(_meet("ru", "rv")).select("u", "v").distinct()
         .join(sets.alias("x"), F.col("u") == F.col("x.doc_id")).join(sets.alias("y"), F.col("v") == F.col("y.doc_id"))
         .where(_may_link("x", "y", percent)).select("u", "v")
     )
@@ -385,29 +486,19 @@ def linked(docs: DataFrame, percent: int = 80) -> DataFrame:
         .where("coalesce(cu, u) <> coalesce(cv, v)").select("sig").distinct().join(many, "sig", "left_semi")
     )
     ends = (
-        edges.join(apart, "sig", "left_semi")
+        edges.join(_small(staged(apart, "apart")), "sig", "left_semi")
         .select("sig", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("role")), F.struct(F.col("v").alias("node"), F.col("rv").alias("role")))))
         .groupBy("sig", "node").agg(F.bit_or("role").alias("role"))
         .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id")
     )
-    ends = staged(ends, "open")
-    for across in (False, True):
-        now = ends.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        x, y = now.alias("x"), now.alias("y")
-        if across:  # what is still apart: all of it, across components
-            other = F.col("x.node") < F.col("y.node")
-        else:  # more stars, around documents that hashes pick
-            fields = ["node", "role", "n", "component", *[f"s{k}" for k in range(SKETCH)]]
-            leads = now.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), *fields)).alias(f"lead{k}") for k in range(STARS)])
-            x, other = leads.select("sig", F.inline(F.array(*[f"lead{k}" for k in range(STARS)]))).alias("x"), F.col("x.node") != F.col("y.node")
-        more = (
-            x.join(y, (F.col("x.sig") == F.col("y.sig")) & other & (F.col("x.component") != F.col("y.component")) & meet("x.role", "y.role") & _may_link("x", "y", percent))
-            .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-        )
-        more = _verified(more, docs, percent)
-        if more is not None:
-            good = good.unionByName(more)
-            group = staged(components(good.unionByName(copies)), "components")
+    for deeper in (True, False):
+        group, good, large = _settle(staged(ends, "open"), group, good, copies, docs, percent, pairs_upto)
+        if large is None:
+            break
+        if deeper:
+            ends = _prefixes(large, docs, percent).join(sets, F.col("node") == F.col("doc_id")).drop("doc_id")
+        else:
+            group, good = _across(_blocks(large, block), group, good, copies, docs, percent)
     return keyed.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

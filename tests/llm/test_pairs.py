@@ -88,6 +88,37 @@ def test_short_chains_whose_ends_are_not_linked(spark):
     assert got == brute([r[:2] for r in rows]) == {i: i - i % 10 for i, *_ in rows}
 
 
+def test_chains_of_all_sizes_whose_least_id_is_linked_to_one_end_only(spark):
+    rows, i = [], 0
+    for k in range(600):
+        n = 13 + k * 7 % 81
+        m = max(1, (n - 4) // 9 // 2 + (k % 3 == 0))
+        b = prose(9000 + k, n, 50_000).split()
+        front, back = ["f%d" % x for x in range(m)] + b[m:], b[:-m] + ["b%d" % x for x in range(m)]
+        rows += [(i, " ".join(front), "en", "s", 1), (i + 1, " ".join(b), "en", "s", 1), (i + 2, " ".join(back), "en", "s", 1)]
+        i += 3
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(documents(spark, rows)).collect()}
+    wrong = [k for k in range(600) if {j: got[j] for j in range(3 * k, 3 * k + 3)} != brute([r[:2] for r in rows[3 * k : 3 * k + 3]])]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("upto,block", [(1, 2), (2, 5), (4, 256)])
+def test_large_open_signatures_lose_no_link(spark, upto, block):
+    """Texts that share a passage, some of them just below and some just above the threshold; every way of following groups."""
+    rng = random.Random(11)
+    passage = prose(21, 60, 5000).split()
+    rows = []
+    for k in range(120):
+        own = prose(700 + k // 2, rng.choice([8, 10, 12, 14]), 90_000).split()
+        if k % 2:
+            own[rng.randrange(len(own))] = "edit%d" % k
+        rows.append((k, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :]), "en", "s", 1))
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(documents(spark, rows), pairs_upto=upto, block=block).collect()}
+    want = brute([r[:2] for r in rows])
+    assert got == want
+    assert len(set(want.values())) > 20
+
+
 def test_bounds_of_the_bands():
     for n in (4, 5, 9, 10, 99, 1000, 12345):
         band = int(np.searchsorted(ngram_join.EDGES, n, "right")) - 1
