@@ -19,7 +19,7 @@ of its documents on and the others as star edges, so no group is ever gathered
 or expanded to all pairs. Star edges are verified exactly on the documents'
 shingle sets. Where an edge of a signature fails and its ends stay in different
 components, the signature is open: more stars around other documents are
-verified, and then, if the signature has few documents, all its pairs across
+verified, and then, if few of its documents probe, those with all others across
 components. The documents of larger open signatures (sets that share a subset by
 chance, or a passage) are told apart by their rarest shingles, counted over these
 documents: two linked sets share one of the rarest fifth. Groups of such a
@@ -111,8 +111,11 @@ def _bounds() -> np.ndarray:
 
 EDGES = _bounds()  # band b: sizes EDGES[b] up to EDGES[b + 1] - 1
 _MOST = EDGES[1:] - 1
-SEGMENTS = (_MOST + _MOST * 5 // 4) // 9 + 2  # one more than D + 1
-DELETABLE = np.maximum(1, SEGMENTS // 32)
+_DIFFER = (_MOST + _MOST * 5 // 4) // 9  # D, at most
+# segments and how many of them are deletable: one point more than D + 1. Small sets get fewer and larger segments,
+# as a subset of no or one shingle is shared by chance; large ones enough second points to leave such subsets out.
+SEGMENTS = np.where(_DIFFER < 10, (2 * _DIFFER + 5) // 3, _DIFFER + 2)
+DELETABLE = np.where(_DIFFER < 10, _DIFFER + 2 - SEGMENTS, SEGMENTS // 8)
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,13 +379,16 @@ def _still_apart(ends: DataFrame, group: DataFrame) -> DataFrame:
     """The rows of ``ends`` with their components and their signature's number of rows, of signatures with two components or more."""
     now = ends.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = staged(now, "apart-ends")
-    sizes = now.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig", "members")
+    sizes = (
+        now.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("role").bitwiseAND(PROBE) > 0).alias("probers"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        .where("c0 <> c1 AND probers > 0").select("sig", "members", "probers")
+    )
     return now.join(_small(staged(sizes, "apart-sizes")), "sig")
 
 
 def _settle(ends: DataFrame, group: DataFrame, good: DataFrame, copies: DataFrame, docs: DataFrame, percent: int, upto: int):
-    """Follow open signatures: stars around documents that hashes pick, then all pairs of the signatures with ``upto``
-    documents at most. Returns components, links, and the rows of the larger signatures that are still apart (or None)."""
+    """Follow open signatures: stars around documents that hashes pick, then the probing documents of signatures that have
+    ``upto`` of these at most with all others. Returns components, links, and the rows of the larger signatures that are still apart (or None)."""
     now = _still_apart(ends, group)
     salts = F.ceil(F.col("members") / PER_SALT).cast("int")  # a signature's leads meet the others in so many groups
     leads = now.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), *_FIELDS)).alias(f"lead{k}") for k in range(STARS)], F.max(salts).alias("salts"))
@@ -391,9 +397,10 @@ def _settle(ends: DataFrame, group: DataFrame, good: DataFrame, copies: DataFram
     stars = _candidates(leads.alias("x"), salted.alias("y"), ["sig", "salt"], F.col("x.node") != F.col("y.node"), percent)
     group, good = _across(stars, group, good, copies, docs, percent)
     now = staged(_still_apart(ends, group), "apart-ends")
-    few = now.where(F.col("members") <= upto)
-    group, good = _across(_candidates(few.alias("x"), few.alias("y"), ["sig"], F.col("x.node") < F.col("y.node"), percent), group, good, copies, docs, percent)
-    large = now.where(F.col("members") > upto).drop("component", "members")
+    few = now.where(F.col("probers") <= upto)
+    probing = few.where(F.col("role").bitwiseAND(PROBE) > 0)
+    group, good = _across(_candidates(probing.alias("x"), few.alias("y"), ["sig"], F.col("x.node") != F.col("y.node"), percent), group, good, copies, docs, percent)
+    large = now.where(F.col("probers") > upto).drop("component", "members", "probers")
     if large.isEmpty():
         return group, good, None
     return group, good, staged(_still_apart(large, group), "large")
@@ -436,10 +443,10 @@ def _blocks(large: DataFrame, block: int) -> DataFrame:
     return _candidates(x.alias("x"), y.alias("y"), ["sig", "bx", "by"], which, 80)
 
 
-def linked(docs: DataFrame, percent: int = 80, pairs_upto: int = 64, block: int = 256) -> DataFrame:
+def linked(docs: DataFrame, percent: int = 80, pairs_upto: int = 64, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``.
 
-    Open signatures of up to ``pairs_upto`` documents are compared in pairs; ``block`` rows of a larger one stay together.
+    In open signatures up to ``pairs_upto`` probing documents are compared with all; ``block`` rows of a larger one stay together.
     Both change the cost and never the result."""
     if percent != 80:
         raise ValueError("the bands and bounds here are those of a similarity of 0.8")

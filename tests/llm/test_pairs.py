@@ -123,7 +123,7 @@ def test_bounds_of_the_bands():
     for n in (4, 5, 9, 10, 99, 1000, 12345):
         band = int(np.searchsorted(ngram_join.EDGES, n, "right")) - 1
         most = (n + n * 5 // 4) // 9
-        assert ngram_join.SEGMENTS[band] > most
+        assert ngram_join.SEGMENTS[band] + ngram_join.DELETABLE[band] > most and ngram_join.DELETABLE[band] <= ngram_join.SEGMENTS[band]
 
 
 def test_signatures_find_sets_that_differ_as_much_as_allowed():
