@@ -10,8 +10,8 @@ trained here, by stochastic gradients of the log-likelihood with
 forward-backward, on labelled pages, and decoded by Viterbi.
 
 The labelled pages are made by ``labelled_pages``: random words set in many page
-layouts whose parts are known (articles with and without semantic tags, menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments). Their
+layouts whose parts are known (articles with and without elements of their own,
+menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Their
 number is fixed; no row of the input is needed for training.
 
 White space in a block becomes one space (a ``br`` is white space), blocks are
@@ -27,7 +27,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,7 +44,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video math".split())
+SILENT = frozenset("script style noscript template head title iframe audio video".split())
 CLOSES = {  # what an opening tag closes, if that is open and nothing of the second set is between
     "p": ({"p"}, {"button", "td", "th", "li", "div", "article", "section"}),
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -55,33 +58,76 @@ CLOSES = {  # what an opening tag closes, if that is open and nothing of the sec
 _ENDS_P = BLOCKS - {"button", "label", "option", "select", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "p", "legend", "summary", "textarea", "dd", "dt"}
 TELLING = frozenset("cookie cookies subscribe newsletter copyright advertisement sponsored reply comment comments login share menu search rights reserved privacy terms accept related".split())
 _WORD = re.compile(r"[a-z]+")
+PAGES = 600
 
 
 #: Elements that can stand in a head; any other start tag closes a head whose end tag is left out, and so does text.
 IN_HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 
 
+class _Node:
+    """An open element: its parent, the features that it adds to those of its ancestors, and its innermost block elements."""
+
+    __slots__ = ("parent", "tag", "features", "fresh", "inner")
+
+    def __init__(self, parent, tag, features, fresh):
+        self.parent, self.tag, self.features, self.fresh = parent, tag, features, fresh
+        above = parent.inner if parent else ()
+        self.inner = (*above[-1:], tag) if tag in BLOCKS else above
+
+
+@lru_cache(20_000)
+def _element_features(tag: str, named: str) -> tuple[str, ...]:
+    """Features of one element: its tag, and the words of its classes, id and role. Inline elements count too."""
+    own = [] if tag in ("html", "body", "b", "i", "em", "strong", "span", "a") else [f"t:{tag}"]
+    return tuple(dict.fromkeys(own + [f"c:{w}" for w in _WORD.findall(named.lower())]))
+
+
 class _Blocks(HTMLParser):
+    """Leaf blocks, with the node of the element that they stand in. Each tag costs what it is long, however deep it stands."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, str]] = []
-        self.blocks: list[tuple[tuple[tuple[str, str], ...], str, float]] = []
+        self.path: list[_Node] = []
+        self.blocks: list[tuple[_Node | None, str, float]] = []
         self.text: list[str] = []
         self.linked = self.links = self.silent = 0
+        self.open: Counter[str] = Counter()  # tags on the path
+        self.seen: Counter[str] = Counter()  # features on the path
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((tuple(self.path), text, min(1.0, self.linked / len(text))))
+                self.blocks.append((self.path[-1] if self.path else None, text, min(1.0, self.linked / len(text))))
             self.text, self.linked = [], 0
 
+    def _push(self, tag: str, named: str = "") -> None:
+        features = _element_features(tag, named)
+        self.path.append(_Node(self.path[-1] if self.path else None, tag, features, tuple(f for f in features if not self.seen[f])))
+        self.open[tag] += 1
+        self.seen.update(features)
+
+    def _leave(self, node: _Node) -> None:
+        self.open[node.tag] -= 1
+        for f in node.features:
+            self.seen[f] -= 1
+        if node.tag in SILENT:
+            self.silent -= 1
+        elif node.tag == "a":
+            self.links -= 1
+
+    def _drop(self, i: int) -> None:
+        for node in self.path[i:]:
+            self._leave(node)
+        del self.path[i:]
+
     def _close_head(self) -> None:
         for i in (-1, -2):
-            if len(self.path) >= -i and self.path[i][0] == "head":
+            if len(self.path) >= -i and self.path[i].tag == "head":
                 self._drop(len(self.path) + i)
                 return
-            if self.path and self.path[-1][0] != "noscript":
+            if self.path and self.path[-1].tag != "noscript":
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -95,43 +141,42 @@ class _Blocks(HTMLParser):
             return
         if tag in SILENT:
             self.silent += 1
-            self.path.append((tag, ""))
+            self._push(tag)
             return
         if tag in BLOCKS:
             self.flush()
             shut, stop = CLOSES.get(tag, (None, None))
             if tag in _ENDS_P:
                 shut, stop = {"p"}, {"button", "td", "th", "li", "div", "article", "section"}
-            if shut:
+            if shut and any(self.open[t] for t in shut):
                 for i in range(len(self.path) - 1, -1, -1):
-                    if self.path[i][0] in shut:
+                    if self.path[i].tag in shut:
                         self._drop(i)
                         break
-                    if self.path[i][0] in stop:
+                    if self.path[i].tag in stop:
                         break
         if tag == "a":
             self.links += 1
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else ""
-        self.path.append((tag, named))
-
-    def _drop(self, i: int) -> None:
-        for tag, _ in self.path[i:]:
-            if tag in SILENT:
-                self.silent -= 1
-            elif tag == "a":
-                self.links -= 1
-        del self.path[i:]
+        self._push(tag, " ".join(v for k, v in attrs if v and k in ("class", "id", "role")) if attrs else "")
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
+        if not self.open[tag]:
+            return
+        crossed = False
         for i in range(len(self.path) - 1, -1, -1):
-            if self.path[i][0] == tag:
-                self._drop(i)
+            if self.path[i].tag == tag:
+                if crossed and tag not in BLOCKS and tag not in SILENT:  # an inline element's end leaves the blocks within it open
+                    self._leave(self.path[i])
+                    del self.path[i]
+                else:
+                    self._drop(i)
                 return
+            crossed = crossed or self.path[i].tag in BLOCKS
 
     def handle_data(self, data):
-        if self.silent and self.path[-1][0] == "head" and data.strip():
+        if self.silent and self.path[-1].tag == "head" and data.strip():
             self._close_head()
         if not self.silent:
             self.text.append(data)
@@ -147,8 +192,8 @@ class _Blocks(HTMLParser):
             self.flush()
 
 
-def blocks(html: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, float]]:
-    """(ancestors as (tag, classes and ids), text, share of linked text) of each leaf block, in page order."""
+def blocks(html: str | None) -> list[tuple[_Node | None, str, float]]:
+    """(element that it stands in, text, share of linked text) of each leaf block, in page order."""
     p = _Blocks()
     p.feed(html or "")
     p.close()
@@ -156,16 +201,18 @@ def blocks(html: str | None) -> list[tuple[tuple[tuple[str, str], ...], str, flo
     return p.blocks
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    """Features of a block's ancestors; inline elements count as ancestors too."""
-    out = {f"t:{tag}" for tag, _ in path if tag not in ("html", "body", "b", "i", "em", "strong", "span", "a")}
-    for tag, named in path:
-        for w in _WORD.findall(named.lower()):
-            out.add(f"c:{w}")
-    inner = [tag for tag, _ in path if tag in BLOCKS]
-    out.add(f"in:{inner[-1] if inner else '-'}")
-    out.add(f"in2:{'>'.join(inner[-2:])}")
-    return sorted(out)
+def inner_features(node: _Node | None) -> tuple[str, str]:
+    inner = node.inner if node else ()
+    return f"in:{inner[-1] if inner else '-'}", f"in2:{'>'.join(inner)}"
+
+
+def path_features(node: _Node | None) -> list[str]:
+    """Features of a block's ancestors, each once."""
+    out = list(inner_features(node))
+    while node:
+        out += node.fresh
+        node = node.parent
+    return out
 
 
 def text_features(text: str, linked: float) -> list[str]:
@@ -186,10 +233,6 @@ class Field:
     moves: np.ndarray  # from, to
     first: np.ndarray
 
-    def __post_init__(self):
-        self._paths: dict = {}
-        self._texts: dict = {}
-
     def _sum(self, names) -> tuple[float, float]:
         a = b = 0.0
         for x in names:
@@ -199,15 +242,20 @@ class Field:
         return a, b
 
     def scores(self, page) -> list[tuple[float, float]]:
-        out = []
-        if len(self._paths) > 50_000:
-            self._paths.clear()
-        for path, text, linked in page:
-            p = self._paths.get(path)
-            if p is None:
-                p = self._paths[path] = self._sum(path_features(path))
-            t = self._sum(text_features(text, linked))
-            out.append((p[0] + t[0], p[1] + t[1]))
+        """Each block's score of both states. Sums of ancestors' weights are kept, so that each element is added once."""
+        out, sums = [], {None: (0.0, 0.0)}
+        for node, text, linked in page:
+            up, at = [], node
+            while at not in sums:
+                up.append(at)
+                at = at.parent
+            a, b = sums[at]
+            for at in reversed(up):
+                x, y = self._sum(at.fresh)
+                a, b = a + x, b + y
+                sums[at] = (a, b)
+            x, y = self._sum((*inner_features(node), *text_features(text, linked)))
+            out.append((a + x, b + y))
         return out
 
     def decode(self, page) -> list[int]:
@@ -274,8 +322,16 @@ def train(pages: list[tuple[list, list[int]]], rounds: int = 8, rate: float = 0.
     return Field({x: w[i] for x, i in index.items()}, m, f)
 
 
-def labelled_pages(n: int = 360, seed: int = 5) -> list[tuple[str, list[int]]]:
-    """Pages in random layouts, and for each of their blocks whether it is main text."""
+#: Class names that tell nothing about what an element holds.
+NEUTRAL = "wrapper container inner outer page site row col grid box block section-1 layout wrap body-wrap view panel region x12 el-3 css-1q2w3e js-root".split()
+
+
+def labelled_pages(n: int = PAGES, seed: int = 5) -> list[tuple[str, list[int]]]:
+    """Pages in random layouts, and for each of their blocks whether it is main text.
+
+    The article stands in an element that is named for it, in one that isn't (a section, a
+    div without a name or with one that tells nothing), or straight in the body; parts and
+    the whole page may be wrapped in elements that tell nothing."""
     rng = random.Random(seed)
     syllables = "tion ing er the an re on at en nd st es ou la de le que eau der sch ung lich los as mente ción ado".split()
 
@@ -294,129 +350,144 @@ def labelled_pages(n: int = 360, seed: int = 5) -> list[tuple[str, list[int]]]:
             return f'<{name} {rng.choice(["class", "class", "id"])}="{rng.choice(names)}">'
         return f"<{name}>"
 
+    def neutral():
+        return tag(rng.choice(["div", "div", "div", "section"]), NEUTRAL + [word()])
+
     out = []
     for _ in range(n):
         html, states = [], []
 
-        def put(text, main, close=""):
-            html.append(text + close)
+        def put(text, main):
+            html.append(text)
             states.append(int(main))
 
-        def links(count, wrap="li"):
-            for _ in range(count):
-                html.append(f"<{wrap}>" if wrap else "")
-                inner = rng.random()
-                put(f'<a href="/{word()}">{line(1, 3)}</a>' if inner < 0.9 else line(1, 3), False)
-                html.append(f"</{wrap}>" if wrap else "<div></div>")
+        @contextmanager
+        def within(opening):
+            """What is put meanwhile stands in this element; none if it is empty."""
+            html.append(opening)
+            yield
+            html.append(f"</{_WORD.match(opening, 1)[0]}>" if opening else "")
+
+        def element(name, text, main):
+            put(f"<{name}>{text}</{name}>", main)
 
         def menu():
-            html.append(rng.choice(["<nav>", tag("div", ["menu", "navbar", "nav main-nav", "navigation", "breadcrumbs"], True), '<div role="navigation">']))
-            html.append("<ul>")
-            links(rng.randint(2, 8))
-            html.append("</ul>" + ("</nav>" if html[-2 - 0].startswith("<nav") else "</div></nav>"))
+            with within(rng.choice(["<nav>", tag("div", ["menu", "navbar", "nav main-nav", "navigation", "breadcrumbs"], True), '<div role="navigation">'])), within(rng.choice(["<ul>", "<ul>", "<ol>", ""])):
+                for _ in range(rng.randint(2, 8)):
+                    element(rng.choice(["li", "li", "li", "div"]), f'<a href="/{word()}">{line(1, 3)}</a>' if rng.random() < 0.9 else line(1, 3), False)
 
         def header():
-            html.append(rng.choice(["<header>", tag("div", ["header", "site-header", "masthead", "banner", "topbar"], True)]))
-            put(f"<{(h := rng.choice(['h1', 'div', 'p', 'span']))}>{line(1, 5)}</{h}>", False, "<div></div>")
-            if rng.random() < 0.5:
-                put(f"<p>{line(3, 10, True)}</p>", False)
-            html.append("</header></div>")
+            with within(rng.choice(["<header>", tag("div", ["header", "site-header", "masthead", "banner", "topbar"], True)])):
+                element(rng.choice(["h1", "div", "p"]), line(1, 5), False)
+                if rng.random() < 0.5:
+                    element("p", line(3, 10, True), False)
 
         def footer():
-            html.append(rng.choice(["<footer>", tag("div", ["footer", "site-footer", "bottom", "colophon"], True)]))
-            for _ in range(rng.randint(1, 3)):
-                put(f"<{(h := rng.choice(['p', 'div', 'div']))}>{rng.choice(['&copy; ', '', '&copy; 2024 '])}{line(2, 14, rng.random() < 0.5)}</{h}>", False)
-            if rng.random() < 0.5:
-                put(f"&copy; {word()}.example.com &middot; {line(4, 12, True)}", False)
-            html.append("</footer></div>")
+            with within(rng.choice(["<footer>", tag("div", ["footer", "site-footer", "bottom", "colophon"], True)])):
+                for _ in range(rng.randint(1, 3)):
+                    element(rng.choice(["p", "div", "div"]), f"{rng.choice(['&copy; ', '', '&copy; 2024 '])}{line(2, 14, rng.random() < 0.5)}", False)
+                if rng.random() < 0.5:
+                    put(f"&copy; {word()}.example.com &middot; {line(4, 12, True)}", False)
 
         def side():
-            html.append(rng.choice(["<aside>", tag("div", ["sidebar", "side", "widget", "related", "related-posts", "rail", "recommended"], True)]))
-            if rng.random() < 0.7:
-                put(f"<h3>{line(1, 3)}</h3>", False)
-            for _ in range(rng.randint(1, 4)):
-                put(f"<p>{line(4, 40, True)}</p>" if rng.random() < 0.5 else f'<div><a href="#">{line(2, 7)}</a></div>', False)
-            html.append("</aside></div>")
+            with within(rng.choice(["<aside>", tag("div", ["sidebar", "side", "widget", "related", "related-posts", "rail", "recommended"], True)])):
+                if rng.random() < 0.7:
+                    element("h3", line(1, 3), False)
+                for _ in range(rng.randint(1, 4)):
+                    if rng.random() < 0.5:
+                        element("p", line(4, 40, True), False)
+                    else:
+                        element("div", f'<a href="#">{line(2, 7)}</a>', False)
 
         def advert():
-            html.append(tag("div", ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot banner-ad"], True))
-            put(rng.choice([line(2, 25, True), f"<p>{line(5, 30, True)}</p>", f'<a href="#">{line(2, 8)}</a>']), False)
-            html.append("</div>")
+            with within(tag("div", ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot banner-ad"], True)):
+                put(rng.choice([line(2, 25, True), f"<p>{line(5, 30, True)}</p>", f'<a href="#">{line(2, 8)}</a>']), False)
 
         def notice():
-            html.append(tag("div", ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup modal"], True))
-            put(f"<p>{rng.choice(['We use cookies. ', '', 'Subscribe to our newsletter. '])}{line(4, 30, True)}</p>", False)
-            if rng.random() < 0.6:
-                put(f"<button>{rng.choice(['Accept', 'OK', line(1, 2)])}</button>", False)
-            html.append("</div>")
+            with within(tag("div", ["cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup modal"], True)):
+                element("p", f"{rng.choice(['We use cookies. ', '', 'Subscribe to our newsletter. '])}{line(4, 30, True)}", False)
+                if rng.random() < 0.6:
+                    element("button", rng.choice(["Accept", "OK", line(1, 2)]), False)
 
         def form():
-            html.append(tag("form", ["search", "login", "subscribe", "signup", "contact"]))
-            for _ in range(rng.randint(1, 3)):
-                put(f"<label>{line(1, 4)}</label><input>", False)
-            put(f"<button>{line(1, 2)}</button>", False)
-            if rng.random() < 0.3:
-                put(f"<p>{line(5, 20, True)}</p>", False)
-            html.append("</form>")
+            with within(tag("form", ["search", "login", "subscribe", "signup", "contact"])):
+                for _ in range(rng.randint(1, 3)):
+                    put(f"<label>{line(1, 4)}</label><input>", False)
+                element("button", line(1, 2), False)
+                if rng.random() < 0.3:
+                    element("p", line(5, 20, True), False)
 
         def comments():
-            html.append(rng.choice([tag("section", ["comments", "discussion", "responses", "comment-list"], True), tag("div", ["comments", "comment-thread", "reader-comments", "replies", "disqus"], True)]))
-            if rng.random() < 0.7:
-                put(f"<h{(k := rng.choice('234'))}>{rng.choice(['Comments', line(1, 3)])}</h{k}>", False)
-            for _ in range(rng.randint(1, 5)):
-                html.append(tag(rng.choice(["div", "li", "article"]), ["comment", "comment-body", "reply", "response"]))
-                if rng.random() < 0.6:
-                    put(f"<{(t := rng.choice(['span', 'b', 'div', 'p']))}>{line(1, 3)}</{t}>", False, "<p></p>")
-                for _ in range(rng.randint(1, 2)):
-                    put(f"<p>{line(4, 70, True)}</p>", False)
-                html.append("</div></li></article>" if rng.random() < 0.5 else "</div></article></li>")
-            html.append("</section></div>")
-
-        def article():
-            kind = rng.random()
-            if kind < 0.55:
-                html.append(tag("article", ["post", "entry", "story"]) if rng.random() < 0.5 else "<article>")
-            elif kind < 0.7:
-                html.append(rng.choice(["<main>", '<div role="main">']))
-            else:
-                html.append(tag("div", ["content", "main-content", "article", "article-body", "post", "entry-content", "story-body", "text"], True))
-            if rng.random() < 0.9:
-                put(f"<h1>{line(2, 12, rng.random() < 0.5)}</h1>", True)
+            with within(tag(rng.choice(["section", "div", "ul"]), ["comments", "discussion", "responses", "comment-list", "comment-thread", "reader-comments", "replies", "disqus"], True)):
+                if rng.random() < 0.7:
+                    element(rng.choice(["h2", "h3", "h4"]), rng.choice(["Comments", line(1, 3)]), False)
+                for _ in range(rng.randint(1, 5)):
+                    with within(tag(rng.choice(["div", "li", "article"]), ["comment", "comment-body", "reply", "response"])):
+                        if rng.random() < 0.6:
+                            element(rng.choice(["div", "p", "h4"]), line(1, 3), False)
+                        for _ in range(rng.randint(1, 2)):
+                            element("p", line(4, 70, True), False)
+
+        def body():
+            if rng.random() < 0.75:
+                element("h1", line(2, 12, rng.random() < 0.5), True)
+            if rng.random() < 0.05:
+                put(line(1, 60, rng.random() < 0.7), True)
+                return
             for _ in range(rng.randint(1, 9)):
                 r = rng.random()
                 if r < 0.62:
-                    put(f"<p>{line(1, 90, True)}</p>", True)
+                    element("p", line(1, 90, True), True)
                 elif r < 0.72:
                     put(f"<p><b>{line(3, 80, True)}<br>", True)
                 elif r < 0.78:
-                    put(f"<h2>{line(1, 6)}</h2>", True)
+                    element("h2", line(1, 6), True)
                 elif r < 0.83:
-                    put(f'<p>{line(3, 30)} <a href="#">{line(1, 4)}</a> {line(3, 30, True)}</p>', True)
+                    element("p", f'{line(3, 30)} <a href="#">{line(1, 4)}</a> {line(3, 30, True)}', True)
                 elif r < 0.88:
-                    html.append("<ul>")
-                    for _ in range(rng.randint(1, 4)):
-                        put(f"<li>{line(2, 20, True)}</li>", True)
-                    html.append("</ul>")
+                    with within("<ul>"):
+                        for _ in range(rng.randint(1, 4)):
+                            element("li", line(2, 20, True), True)
                 elif r < 0.91:
-                    put(f"<blockquote><p>{line(4, 40, True)}</p></blockquote>", True)
+                    with within("<blockquote>"):
+                        element("p", line(4, 40, True), True)
                 elif r < 0.93:
-                    put(f"<pre>{line(3, 20)}</pre>", True)
+                    element("pre", line(3, 20), True)
                 elif r < 0.95:
-                    html.append("<table><tr>")
-                    for _ in range(3):
-                        put(f"<td>{line(1, 3)}</td>", True)
-                    html.append("</tr></table>")
-                elif r < 0.98:
+                    with within("<table>"), within("<tr>"):
+                        for _ in range(3):
+                            element("td", line(1, 3), True)
+                elif r < 0.965:
+                    element(rng.choice(["div", "section"]), line(5, 60, True), True)
+                elif r < 0.985:
                     advert()
                 else:
                     form()
-            html.append("</article></main></div>")
 
-        before = [f for f, p in ((notice, 0.3), (header, 0.5), (menu, 0.85), (advert, 0.6), (form, 0.2), (side, 0.25)) if rng.random() < p]
-        after = [f for f, p in ((comments, 0.4), (side, 0.4), (advert, 0.2), (form, 0.2), (notice, 0.15), (menu, 0.1), (footer, 0.85)) if rng.random() < p]
-        html.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{line(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-        for f in (*before, article, *after):
-            f()
+        def article():
+            kind = rng.random()
+            if kind < 0.35:
+                opening = tag("article", ["post", "entry", "story"]) if rng.random() < 0.5 else "<article>"
+            elif kind < 0.45:
+                opening = rng.choice(["<main>", '<div role="main">'])
+            elif kind < 0.65:
+                opening = tag("div", ["content", "main-content", "article", "article-body", "post", "entry-content", "story-body", "text"], True)
+            elif kind < 0.85:
+                opening = neutral()
+            else:
+                opening = ""
+            with within(opening), within(neutral() if rng.random() < 0.2 else ""):
+                body()
+
+        before = [f for f, p in ((notice, 0.3), (header, 0.5), (menu, 0.75), (advert, 0.5), (form, 0.2), (side, 0.25)) if rng.random() < p]
+        after = [f for f, p in ((comments, 0.4), (side, 0.4), (advert, 0.2), (form, 0.2), (notice, 0.15), (menu, 0.1), (footer, 0.75)) if rng.random() < p]
+        if rng.random() < 0.2:  # nothing before the article, or after it, or neither
+            before, after = rng.choice([([], after), (before, []), ([], []), ([], [])])
+        html.append(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{line(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script>{rng.choice(["</head>", "</head>", ""])}<body>')
+        with within(neutral() if rng.random() < 0.3 else ""), within(neutral() if rng.random() < 0.2 else ""):
+            for f in (*before, article, *after):
+                with within(neutral() if rng.random() < 0.15 else ""):
+                    f()
         html.append("</body></html>")
         out.append(("".join(html), states))
     return out
@@ -425,7 +496,7 @@ def labelled_pages(n: int = 360, seed: int = 5) -> list[tuple[str, list[int]]]:
 _TRAINED: dict[tuple[int, int], Field] = {}
 
 
-def trained(n: int = 360, seed: int = 5) -> Field:
+def trained(n: int = PAGES, seed: int = 5) -> Field:
     """The field for the labelled pages; trained once in a process."""
     if (n, seed) not in _TRAINED:
         data = [(blocks(h), s) for h, s in labelled_pages(n, seed)]

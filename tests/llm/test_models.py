@@ -259,6 +259,61 @@ def test_head_without_an_end_tag(start):
     assert [x["text"] for x in media.parse("<head><template><p>no</template><title>no</title></head><p>yes")] == ["yes"]
 
 
+TWO = "<p>The quick brown fox jumps over the lazy dog, and then it rests for a while.</p><p>Another paragraph of plain text that has some words in it.</p>"
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><body>{TWO}", f"<html><body>{TWO}</body></html>", TWO, f"<body><section>{TWO}</section>", f'<body><div id="x12">{TWO}</div>', f'<div class="wrapper">{TWO}</div>',
+        f"<body>{MENU}{TWO}<footer><p>&copy; 2024 Example Corp.</p></footer>", f'<div class="page"><div class="row"><div class="col">{TWO}</div></div></div>', f"<body>{MENU}<div>{TWO}</div>",
+        f'<body><div class="container">{MENU}<div class="zz-9">{TWO}</div><div class="footer"><div>Some company name</div></div></div>', f'<main><div class="q">{TWO}</div></main>',
+        f'<body>{TWO}<div class="comments"><h3>Comments</h3><div class="comment"><p>I like the story about the fox very much, thank you for it.</p></div></div>',
+        f'<div class="advert">Buy our new shoes today.</div><div class="unheard-of">{TWO}</div><aside><p>Other stories that you may like to read today.</p></aside>',
+    ],
+)
+def test_ordinary_layouts_give_their_text(page):
+    want = "The quick brown fox jumps over the lazy dog, and then it rests for a while.\n\nAnother paragraph of plain text that has some words in it."
+    assert html_crf.main_text(page, html_crf.trained()) == want
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given as a number here.</p><p>See <object>the drawing of a cat</object> and <svg><title>no</title><text>its label</text></svg> in it.</p></article>"
+    assert html_crf.main_text(page, html_crf.trained()) == "Let x=2 be given as a number here.\n\nSee the drawing of a cat and its label in it."
+
+
+def test_inline_ends_leave_blocks_open():
+    got = [(b[0].inner, b[1]) for b in html_crf.blocks("<div class=comment><b><p>one</b> two<p>three</div><article><p>four")]
+    assert got == [(("div", "p"), "one two"), (("div", "p"), "three"), (("article", "p"), "four")]
+
+
+def test_path_features_are_those_of_all_open_elements():
+    found = html_crf.blocks("<body class=a><div class='b a' id=c><ul><li>x<li><p>y</ul></div>z")
+    assert [sorted(html_crf.path_features(n)) for n, *_ in found] == [
+        sorted(["c:a", "c:b", "c:c", "t:div", "t:ul", "t:li", "in:li", "in2:ul>li"]),
+        sorted(["c:a", "c:b", "c:c", "t:div", "t:ul", "t:li", "t:p", "in:p", "in2:li>p"]),
+        sorted(["c:a", "in:body", "in2:body"]),
+    ]
+    field = html_crf.trained()
+    page = html_crf.blocks(html_crf.labelled_pages(3, seed=9)[2][0])
+    for (node, text, linked), got in zip(page, field.scores(page)):
+        want = field._sum([*html_crf.path_features(node), *html_crf.text_features(text, linked)])
+        assert abs(want[0] - got[0]) < 1e-9 and abs(want[1] - got[1]) < 1e-9
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for k in (10_000, 40_000):
+        began = time.process_time()
+        assert len(html_crf.blocks("<body>" + "<div class=x>some text </b></li>" * k)) == k
+        html_crf.trained().scores(html_crf.blocks("<div>a" * k))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_page_awkward_rows(spark):
     rows = [(1, "u", None), (1, "u", ""), (None, None, "<article><h1>T &amp; U</h1><p>One  two&nbsp;three is a sentence.<p>And another one, with words.</article><script>x</script>"), (2, "v", "<div><p>" * 500 + "x"), (3, "w", "<<<&&& <p <b>>"), (4, "z", "plain " * 30_000)]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
