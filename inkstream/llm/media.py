@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import released, staged, text_column
+from .shared import pieces, released, staged, text_column
 
-WIDTH = 576
+WIDTH, _PIECE, _SEEN = 576, 1 << 20, 100_000
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 MAGIC = b"\x89PNG\r\n\x1a\n"
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "article", "section", "figure", "br", "ul", "ol", "table", "tr", "blockquote", "pre"}
@@ -121,8 +121,9 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            _, off = text_column(b.column(1))
+            for lo, hi in pieces(off, _PIECE):
+                part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x) for x in part.column(1).to_pylist()], pa.list_(item))], names=[key, "items"])
 
     return pages.select(key, F.col(html).cast("string")).mapInArrow(released(run), f"`{key}` {kind}, items array<{ITEM}>")
@@ -178,7 +179,7 @@ def store(docs: DataFrame) -> DataFrame:
     """(digest, media) of each text's payload, written to the shared folder and read back."""
 
     def run(batches):
-        seen: set[bytes] = set()  # of this task's rows; copies in other tasks are joined later
+        seen: set[bytes] = set()  # of this task's last rows; copies farther away are joined later
         for b in batches:
             buf, off = text_column(b.column(0))
             data, digests, media, size = buf.tobytes(), [], [], 0
@@ -187,6 +188,8 @@ def store(docs: DataFrame) -> DataFrame:
                 d = hashlib.sha256(payload)
                 if d.digest() in seen:
                     continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
                 seen.add(d.digest())
                 digests.append(d.hexdigest())
                 media.append(png(payload))
@@ -218,31 +221,44 @@ def features(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(released(run), FEATURES).dropDuplicates(["digest"])
 
 
-def resolve(sequences: DataFrame, key: str, stored: DataFrame) -> DataFrame:
-    """(key, position, caption, digest and its features) of each media reference."""
-    refs = sequences.select(F.col(key), F.explode("items").alias("item")).where("item.kind = 'media'")
-    refs = refs.select(key, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
+def resolve(sequences: DataFrame, key: str, stored: DataFrame, keep: bool = False) -> DataFrame:
+    """(key, position, caption, digest and its features) of each media reference; with ``keep`` also the ``items`` of its sequence."""
+    kept = ["items"] if keep else []
+    refs = sequences.select(key, *kept, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    refs = refs.select(key, *kept, F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
     # the features are staged so that both sides are plain shuffles and a digest with very many references can be split
     return refs.join(staged(features(stored), "media-features"), "digest", "left")
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """(doc_id, html): each document as a figure that refers to its payload's digest."""
+    """(doc_id, html): each document as a page of its lines, and after the first half of these a figure that refers to its payload's digest."""
 
     def run(batches):
         for b in batches:
             buf, off = text_column(b.column(1))
-            data, ids = buf.tobytes(), b.column(0).to_pylist()
-            page = [
-                f'<figure><img src="sha256:{hashlib.sha256(pad(data[s:e])).hexdigest()}"><figcaption>{_html.escape(f"document {i}")}</figcaption></figure>'
-                for i, s, e in zip(ids, off[:-1].tolist(), off[1:].tolist())
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(page, pa.string())], names=["doc_id", "html"])
+            for lo, hi in pieces(off, _PIECE):
+                pages = []
+                for i, s, e in zip(b.column(0).slice(lo, hi - lo).to_pylist(), off[lo:hi].tolist(), off[lo + 1 : hi + 1].tolist()):
+                    text = buf[s:e].tobytes()
+                    lines = [f"<p>{_html.escape(x, quote=False)}</p>" for x in text.decode().split("\n")]
+                    lines.insert((len(lines) + 1) // 2, f'<figure><img src="sha256:{hashlib.sha256(pad(text)).hexdigest()}"><figcaption>document {i}</figcaption></figure>')
+                    pages.append("".join(lines))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(pages, pa.string())], names=["doc_id", "html"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, html string")
 
 
+def outlined(sequences: DataFrame, key: str) -> DataFrame:
+    """The sequences with the number of characters of each text in place of the text: what a shuffle has to carry."""
+    return sequences.select(key, F.transform("items", lambda x: F.struct(
+        x["position"].alias("position"), x["kind"].alias("kind"), F.length(x["text"]).alias("n_chars"), x["digest"].alias("digest"), x["caption"].alias("caption")
+    )).alias("items"))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = resolve(interleave(figures(docs), "doc_id"), "doc_id", store(docs))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = resolve(outlined(interleave(figures(docs), "doc_id"), "doc_id"), "doc_id", store(docs), keep=True)
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption",
+        F.transform("items", lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), x["n_chars"].alias("n_chars"))).alias("sequence"),
+    )

@@ -107,3 +107,41 @@ def test_media_of_documents(spark):
     assert media.resolve(media.interleave(media.figures(df.limit(0)), "doc_id"), "doc_id", media.store(df.limit(0))).count() == 0
     lost = media.resolve(media.interleave(media.figures(df), "doc_id"), "doc_id", media.store(df.limit(0)))
     assert lost.where("feature IS NULL").count() == df.count()
+
+
+def test_stored_form_and_feature_equal_a_direct_computation(spark):
+    """The stored bytes are a PNG whose samples, decoded by the format's rules, are the payload; the feature is the mean of 16 spans."""
+    df = documents(spark)
+    stored = {r.digest: bytes(r.media) for r in media.store(df).collect()}
+    rows = {r.doc_id: r for r in media.resolve(media.interleave(media.figures(df), "doc_id"), "doc_id", media.store(df)).collect()}
+    for doc_id, text, *_ in awkward():
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or (576 if not raw else 0))
+        image = stored[hashlib.sha256(payload).hexdigest()]
+        assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and image[12:16] == b"IHDR"
+        wide, high, depth, colour, *_ = int.from_bytes(image[16:20]), int.from_bytes(image[20:24]), image[24], image[25]
+        assert (wide, high, depth, colour) == (576, len(payload) // 576, 8, 0)
+        size = int.from_bytes(image[33:37])
+        lines = zlib.decompress(image[41 : 41 + size])
+        assert b"".join(lines[k * 577 + 1 : (k + 1) * 577] for k in range(high)) == payload and set(lines[::577]) == {0}
+        r = rows[doc_id]
+        if doc_id is not None:
+            assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+            cut = [len(payload) * k // 16 for k in range(17)]
+            assert r.feature == bytes(sum(payload[a:b]) // (b - a) for a, b in zip(cut, cut[1:])).hex()
+
+
+def test_sequences_of_documents_position_by_position(spark):
+    rows = [(1, "first line\nsecond  & <line>\n\nthird", "en", "s", 1), (2, None, "en", "s", 1), (3, "only", "en", "s", 1), (4, "a\n\tb", "en", "s", 1)]
+    got = {r.doc_id: [tuple(i) for i in r["items"]] for r in media.interleave(media.figures(documents(spark, rows)), "doc_id").collect()}
+    for doc_id, text, *_ in rows:
+        lines = (text or "").split("\n")
+        middle = (len(lines) + 1) // 2
+        digest = hashlib.sha256(media.pad((text or "").encode())).hexdigest()
+        want = [("text", " ".join(x.split()), None, None) for x in lines[:middle] if x.strip()] + [("media", None, digest, f"document {doc_id}")]
+        want += [("text", " ".join(x.split()), None, None) for x in lines[middle:] if x.strip()]
+        assert got[doc_id] == [(k, *x) for k, x in enumerate(want)]
+    outlined = {r.doc_id: r for r in media.resolve(media.outlined(media.interleave(media.figures(documents(spark, rows)), "doc_id"), "doc_id"), "doc_id", media.store(documents(spark, rows)), keep=True).collect()}
+    for doc_id, items in got.items():
+        assert [(i.position, i.kind, i.n_chars) for i in outlined[doc_id]["items"]] == [(p, k, None if t is None else len(t)) for p, k, t, *_ in items]
+        assert items[outlined[doc_id].position][1] == "media" and outlined[doc_id].feature is not None
