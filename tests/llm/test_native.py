@@ -60,6 +60,37 @@ def test_priority_raises_inclusion(spark):
     assert n[0] > 1.5 * n[1]
 
 
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    """Two hundred sources of the same sizes are as many draws; equal classes of a weight have equal rates."""
+    sizes = [1, 3, 6, 6, 12, 25, 25, 50, 50, 100, 100, 100, 200, 200, 400] * 8
+    rows_ = [(1000 * s + i, "w " * n, "en", f"s{s:04d}", 1) for s in range(210) for i, n in enumerate(sizes)]
+    got = mixing.mix_plan(documents(spark, rows_)).groupBy("size", F.round("rate", 6).alias("rate")).agg(F.avg("copies").alias("mean"), F.count(F.lit(1)).alias("n")).collect()
+    uneven = [r for r in got if r.rate % 1 > 0]
+    assert len(uneven) >= 10 and len({r.rate for r in uneven}) >= 8 and all(r.n >= 500 for r in uneven)
+    assert all(abs(r["mean"] - r.rate) < 0.06 for r in uneven), [(r.size, r.rate, r["mean"]) for r in uneven]
+    assert all(r["mean"] == r.rate for r in got if r.rate % 1 == 0)
+
+
+def test_documents_behind_a_long_one_fill_the_gap(spark):
+    """However a long document stands in the order, the short ones behind it are still taken."""
+    rows_ = [(100 * s + i, "w " * n, "en", f"s{s:03d}", 1) for s in range(60) for i, n in enumerate([600] + [10] * 40)]
+    got = mixing.mix_plan(documents(spark, rows_), bucket_rows=7).groupBy("target", F.floor(F.col("doc_id") / 100).alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert len(got) == 60 and sum(abs(r.taken - r.target) > 5.01 for r in got) <= 6 and all(abs(r.taken - r.target) <= 300 for r in got)
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows_ = [(7, "one two three", "en", "a", 1)] * 50 + [(8, "x " * 40, "en", "b", 1)] * 3 + [(None, None, None, None, None)] * 4
+    df = documents(spark, rows_)
+    want = mixing.mix_plan(df).agg(F.sum("copies")).first()[0]
+    assert mixing.mix(df).count() == want
+
+
+def test_texts_are_read_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = mixing.mix_plan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "documents.parquet" not in plan
+
+
 def test_mix_awkward_rows(spark):
     df = clashing(documents(spark))
     out = mixing.mix(df)
