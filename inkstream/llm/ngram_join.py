@@ -455,7 +455,8 @@ def linked(docs: DataFrame, percent: int = 80, pairs_upto: int = 64, block: int
     keyed = staged(_keyed(docs), "sets")
     stats = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     buckets = max(1, -(-int(stats[0]) // PER_BUCKET))
-    classes = keyed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the join are plain shuffles and a class of very many copies can be split
+    classes = staged(keyed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "set-classes")
     members = staged(keyed.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep"), "classes")
     sets = staged(
         keyed.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
