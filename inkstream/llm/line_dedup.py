@@ -5,17 +5,18 @@ words or more, that stands already at an earlier place (in the order of doc_id
 and line). Lines are compared without white space at their ends; blank lines
 don't count, and go where the lines around them go.
 
-Every shortest run of ``run_words`` words, forwards from each line and backwards
-from each line, is a window. A window holds grams, the shortest runs of
-``gram_words`` words from each of its lines; the gram with the least hash is its
-fingerprint, so equal windows have equal fingerprints, and neighbouring windows
-mostly share one. Only fingerprints are counted over all documents; where one
-stands at a single place, no window that it speaks for is repeated. At the
-others, positions are joined: each window with the first place that has it. The
-windows that stand later than that are matches. Windows to both sides of a match
-are matched in the same way, so their union is the longest repeated run, in both
-directions. Nothing is expanded to pairs of places; a passage that very many
-documents share is one row for each of its places.
+Grams are the shortest runs of ``gram_words`` words from each line, windows the
+shortest runs of ``run_words`` words, forwards from each line and backwards from
+each line. Of the grams in a window the one with the least hash is selected:
+equal windows select equal grams, and neighbouring windows mostly the same one,
+so these fingerprints are few and guaranteed. Their positions are joined over all
+documents. Where one stands twice, its matches are extended both ways, window by
+window: each window around it is held against the first place that has this very
+window, and the later one is a match. Matches that meet or overlap are one
+repeated run, as far as it goes in both directions; the runs of a document are
+disjoint. Nothing is expanded to pairs of places; a passage that very many
+documents share is one row for each of its places. Work and memory are linear in
+a document's lines.
 
 Defined results: null and empty texts stay as they are; among rows with equal
 doc_id and equal text all are the same place and keep or lose the same lines;
@@ -26,9 +27,12 @@ there is an ``n_chars``, it is set to the new length.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .shared import pieces, released, staged, text_column
 from .textscan import U, hash_ranges, mix, words
@@ -132,7 +136,7 @@ def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """(doc, text_hash, s, e): windows of lines that stand at an earlier place already. ``docs`` has doc, text_hash, text."""
+    """(doc, text_hash, s, e): disjoint runs of lines that stand at an earlier place already. ``docs`` has doc, text_hash, text."""
     prints = staged(fingerprints(docs, run_words, gram_words), "line-prints")
     # a place counts once, so that repeated rows don't count as repeats of themselves;
     # within a place a fingerprint can speak for several windows, and any two may be equal
@@ -140,33 +144,60 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     at = prints.join(often, "key").select("doc", "text_hash", F.inline("places"))
     at = staged(at, "line-places")
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    return at.join(first, ["h1", "h2"]).where(F.struct("doc", "text_hash", "s") > F.col("first")).select("doc", "text_hash", "s", "e").distinct()
+    later = at.join(first, ["h1", "h2"]).where(F.struct("doc", "text_hash", "s") > F.col("first")).select("doc", "text_hash", "s", "e").distinct()
+    order = W.partitionBy("doc", "text_hash").orderBy("s", "e")
+    apart = F.col("s") > F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1
+    runs = later.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "text_hash", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+
+def _without(found: DataFrame) -> DataFrame:
+    """row, text without the lines of its spans, n_lines and n_deleted of rows of (row, text, spans), and whether no line with words is left of a cut text."""
+    schema = T.StructType([found.schema["row"], found.schema["text"], *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_deleted")], T.StructField("emptied", T.BooleanType())])
+
+    def run(batches):
+        for b in batches:
+            _, off = text_column(b.column(1))
+            for lo, hi in pieces(off, 4 << 20):
+                part = b.slice(lo, hi - lo)
+                text, spans = part.column(1), part.column(2)
+                cut = spans.is_valid()
+                new, deleted, emptied = [], np.zeros(hi - lo, np.int64), np.zeros(hi - lo, bool)
+                for r in np.flatnonzero(cut.to_numpy(zero_copy_only=False)).tolist():
+                    lines = text[r].as_py().split("\n")
+                    step = np.zeros(len(lines) + 1, np.int64)
+                    for span in spans[r].as_py():
+                        step[span["s"]] += 1
+                        step[span["e"] + 1] -= 1
+                    keep = np.cumsum(step[:-1]) == 0
+                    kept = list(compress(lines, keep.tolist()))
+                    new.append("\n".join(kept))
+                    deleted[r] = len(lines) - len(kept)
+                    emptied[r] = not any(x.strip(" \t\n\x0b\x0c\r") for x in kept)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pc.replace_with_mask(text, cut, pa.array(new, text.type)), pc.add(pc.cast(pc.fill_null(pc.count_substring(text, "\n"), 0), pa.int64()), 1), pa.array(deleted), pa.array(emptied)],
+                    names=schema.names,
+                )
+
+    return found.mapInArrow(released(run), schema)
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, drop_emptied: bool = False, counts: bool = False) -> DataFrame:
     """``docs`` without later repeated runs. ``drop_emptied`` leaves out documents that lose all their lines;
     ``counts`` adds n_lines and n_deleted."""
     low = F.lit(-(1 << 63))
-    packed = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), low).alias("doc"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
-    )
-    text = F.col("row").getField("text").cast("string")
-    runs = repeated_runs(packed.select("doc", "text_hash", F.coalesce(text, F.lit("")).alias("text")), run_words, gram_words)
+    text = F.col("text").cast("string")
+    others = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), low).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    runs = repeated_runs(packed.select("doc", "text_hash", F.coalesce("text", F.lit("")).alias("text")), run_words, gram_words)
     spans = runs.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("spans", lambda p: (p.s <= i) & (i <= p.e)))
-    found = packed.join(spans, ["doc", "text_hash"], "left").withColumn("text", text).withColumn("kept", F.when(F.col("spans").isNotNull(), kept))
-    found = found.withColumn("new", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")))
+    found = _without(packed.join(spans, ["doc", "text_hash"], "left").select("row", "text", "spans"))
     if drop_emptied:
-        found = found.where(F.col("kept").isNull() | F.exists("kept", lambda x: x.rlike(r"[^\s]")))
-    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("new")}
+        found = found.where("NOT emptied")
+    out = {c: F.col("text") if c == "text" else F.col("row").getField(c) for c in docs.columns}
     if "n_chars" in out:
-        out["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
-    extra = [F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")] if counts else []
-    if counts:
-        extra.append(F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long").alias("n_deleted"))
-    return found.select(*[v.alias(k) for k, v in out.items()], *extra)
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[v.alias(k) for k, v in out.items()], *(["n_lines", "n_deleted"] if counts else []))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -206,6 +206,28 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(r.n_deleted for r in got.values()) > 100 and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_runs_are_disjoint_and_maximal(spark):
+    a = [prose(10 + k, 12).replace("\n", " ") for k in range(40)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(a[:10] + ["other words here"] + a[20:33])), (3, "\n".join(a[20:33] + a[:10]))]
+    df = spark.createDataFrame([(d, d, t) for d, t in rows], "doc long, text_hash long, text string")
+    assert sorted(tuple(r) for r in line_dedup.repeated_runs(df).collect()) == [(2, 2, 0, 9), (2, 2, 11, 23), (3, 3, 0, 22)]
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    """One long document twice: every line goes from the second."""
+    import time
+
+    took = []
+    for n in (500, 10_000, 40_000):
+        text = "\n".join("line %d has words %x" % (k, k * 2654435761 % 2**32) for k in range(n))
+        rows = [(1, text, "en", "s", 1), (2, "first\n" + text + "\nlast", "en", "s", 1)]
+        began = time.time()
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, rows), counts=True).collect()}
+        took.append(time.time() - began)
+        assert got[1].n_deleted == 0 and got[2].text == "first\nlast" and got[2].n_deleted == n and got[2].n_lines == n + 2
+    assert took[2] - took[0] < 8 * max(took[1] - took[0], 0.5)
+
+
 def test_line_dedup_awkward_rows(spark):
     df = clashing(documents(spark))
     out = line_dedup.dedup_lines(df)
