@@ -1,8 +1,8 @@
 """The stateful line cleaner, in two forms that give the same text.
 
 ``clean`` works on the array of a document's lines and needs no shuffle: flags of
-each line, look-ahead over slices, then one fold that carries what was emitted
-last. ``clean_by_window`` lays lines out as rows and uses window frames; it is
+each line, look-ahead over slices, and a look at the line before among those that
+matter; its work is linear in the number of lines. ``clean_by_window`` lays lines out as rows and uses window frames; it is
 the form that the SQL oracle has.
 
 A line that matches a cutoff ends the document, unless a dosage follows within
@@ -36,41 +36,53 @@ def finish(x: Column) -> Column:
     return S.strip(S.collapse_newlines(S.collapse_spaces(S.fold_punct(x))))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean(text: Column, rules: Rules = Rules(), drop_rescued: bool = False) -> Column:
-    h = rules.horizon
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), S.strip)
     flags = F.transform(lines, lambda x: F.struct(x.alias("line"), *[v.alias(k) for k, v in line_flags(x, rules).items()]))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(_fold(flags, h, drop_rescued))
+    cleaned = _let(flags, lambda f: _let(_follows(f, rules.horizon), lambda d: _let(_effective(f, d, rules.horizon, drop_rescued), _emitted)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(finish(F.array_join(cleaned, "\n")))
+
+
+def _ahead(values: Column, i: Column, horizon: int, test) -> Column:
+    return F.exists(F.slice(values, i + 2, F.lit(horizon)), test)
+
+
+def _follows(flags: Column, horizon: int) -> Column:
+    """For each line: it names a dosage, or ends with a colon and one follows within the horizon."""
+    return F.transform(flags, lambda x, i: x.d | (x.c & _ahead(flags, i, horizon, lambda y: y.d)))
 
 
-def _fold(flags: Column, h: int, drop_rescued: bool) -> Column:
-    def ahead(arr, i, test):
-        return F.exists(F.slice(arr, i + 2, F.lit(h)), test)
+def _effective(flags: Column, follows: Column, horizon: int, drop_rescued: bool) -> Column:
+    """The lines that matter: kept ones, blank ones, and those that end the document if no colon is before them.
 
-    follows = F.transform(flags, lambda x, i: x.d | (x.c & ahead(flags, i, lambda y: y.d)))
-    steps = F.transform(
-        flags,
-        lambda x, i: F.struct(x.line.alias("line"), x.blank.alias("blank"), x.c.alias("c"), x.cut.alias("cut"), (~x.blank & ~x.rm).alias("keep"),
-                              (x.cut & ~F.when(x.cut, ahead(follows, i, lambda y: y)).otherwise(F.lit(True))).alias("ends")),
+    ``colon`` says of each what a line after it sees. One that ends the document but isn't kept was passed only
+    because a colon was before it, and leaves that as it is."""
+    kept = lambda x: ~x.blank & ~x.rm & ~x.cut if drop_rescued else ~x.blank & ~x.rm
+    steps = F.transform(flags, lambda x, i: F.struct(
+        x.line.alias("line"), x.blank.alias("blank"), kept(x).alias("keep"), x.c.alias("c"),
+        F.when(x.cut, ~_ahead(follows, i, horizon, lambda y: y)).otherwise(F.lit(False)).alias("ends"),
+    ))
+    return F.transform(
+        F.filter(steps, lambda x: x.keep | x.blank | x.ends),
+        lambda x: F.struct(x.line.alias("line"), x.blank.alias("blank"), x.keep.alias("keep"), x.ends.alias("ends"), F.when(x.keep, x.c).otherwise(x.ends).alias("colon")),
     )
-    empty = F.array().cast("array<string>")
 
-    def state(out, colon, stopped):
-        return F.struct(out.alias("out"), colon.alias("colon"), stopped.alias("stopped"))
 
-    no, yes = F.lit(False), F.lit(True)
+def _emitted(steps: Column) -> Column:
+    """The lines up to the first that ends the document: those that are kept, and blank ones directly after a colon."""
+    after_colon = lambda i: F.coalesce(F.get(steps, i - 1).colon, F.lit(False))
+    marked = F.transform(steps, lambda x, i: F.struct(x.line.alias("line"), (x.keep | (x.blank & after_colon(i))).alias("shown"), (x.ends & ~after_colon(i)).alias("stop")))
 
-    def step(s, x):
-        keep = x.keep & ~x.cut if drop_rescued else x.keep
-        return (
-            F.when(s.stopped, s)
-            .when(x.blank, F.when(s.colon, state(F.array_append(s.out, F.lit("")), no, no)).otherwise(s))
-            .when(x.ends & ~s.colon, state(s.out, s.colon, yes))
-            .when(keep, state(F.array_append(s.out, x.line), x.c, no))
-            .otherwise(s)
-        )
+    def upto_stop(m):
+        stop = F.array_position(F.transform(m, lambda x: x.stop), True)
+        return F.transform(F.filter(F.when(stop > 0, F.slice(m, F.lit(1), (stop - 1).cast("int"))).otherwise(m), lambda x: x.shown), lambda x: x.line)
 
-    return finish(F.array_join(F.aggregate(steps, state(empty, no, no), step, lambda s: s.out), "\n"))
+    return _let(marked, upto_stop)
 
 
 def flagged_lines(docs: DataFrame, key: str, text: str = "text", rules: Rules = Rules()) -> DataFrame:

@@ -65,3 +65,15 @@ def test_horizon_and_blanks(spark, text, want):
 def test_rescued_lines_can_go(spark):
     df = spark.createDataFrame([(f"A:\n{CUT}\nB",)], "t string")
     assert df.select(cleaner.clean(F.col("t"), drop_rescued=True)).first()[0] == "A:\nB"
+
+
+def test_work_is_linear_in_lines(spark):
+    import time
+
+    took = []
+    for n in (2_000, 10_000, 40_000):
+        df = spark.createDataFrame([("\n".join("line number %d of text" % k if k % 9 else "Ends with colon:" for k in range(n)),)], "t string")
+        began = time.time()
+        assert len(df.select(cleaner.clean(F.col("t"))).first()[0].split("\n")) == n
+        took.append(time.time() - began)
+    assert took[2] < 4 * took[1] + 2
