@@ -19,6 +19,7 @@ from .textscan import _SPACE, hash_ranges
 
 KEPT = 1_000_000  # distinct parts kept in a worker; beyond it the store starts anew
 _BATCH = 1 << 20
+_JOINED = 1024  # ranges that are encoded together
 
 
 def load(path: str | None = None):
@@ -55,6 +56,7 @@ def _odd_space(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str | None = None):
         self.bpe = load(path)
+        self.spaced = None  # ids that begin with a space
         self._clear()
 
     def _clear(self) -> None:
@@ -66,11 +68,7 @@ class Encoder:
     def _learn(self, buf, start, end, hashes, first) -> None:
         if len(self.known) + len(first) > KEPT:
             self._clear()
-        data = buf.tobytes()
-        texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(start[first].tolist(), end[first].tolist())]
-        ids = [self.bpe.encode_ordinary(t) for t in texts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        flat, sizes = self._encode(buf, start[first], end[first])
         at = len(self.pool) + np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
         known = np.concatenate((self.known, hashes[first]))
         order = np.argsort(known, kind="stable")
@@ -79,6 +77,35 @@ class Encoder:
         self.size = np.concatenate((self.size, sizes))[order]
         self.pool = np.concatenate((self.pool, flat))
 
+    def _encode(self, buf, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each range, end to end, and how many each has. Ranges that are a space and a word without white
+        space are encoded together: their ids are those of each alone, and an id that begins with a space begins a range."""
+        data = buf.tobytes()
+        spans = list(zip(start.tolist(), end.tolist()))
+        if self.spaced is None:
+            self.spaced = np.zeros(self.bpe.n_vocab, bool)
+            self.spaced[[i for token, i in self.bpe._mergeable_ranks.items() if token[:1] == b" "]] = True
+        flat, sizes = [], []
+        for lo in range(0, len(spans), _JOINED):
+            part = spans[lo : lo + _JOINED]
+            joined = b"".join([data[s:e] for s, e in part])
+            ids = size = None
+            if joined.count(b" ") == len(part) and all(data[s] == 0x20 and e - s > 1 for s, e in part):
+                x = np.frombuffer(joined, np.uint8)
+                odd = _SPACE.copy()
+                odd[0x20] = False
+                if not odd[x].any() and not len(_odd_space(x, np.array([0, len(x)]))):
+                    ids = np.array(self.bpe.encode_ordinary(joined.decode("utf-8", "replace")), np.uint32)
+                    at = np.flatnonzero(self.spaced[ids])
+                    size = np.diff(np.append(at, len(ids))) if len(at) == len(part) else None
+            if size is None:
+                each = [self.bpe.encode_ordinary(data[s:e].decode("utf-8", "replace")) for s, e in part]
+                size = np.fromiter(map(len, each), np.int64, len(each))
+                ids = np.fromiter((i for x in each for i in x), np.uint32, int(size.sum()))
+            flat.append(ids)
+            sizes.append(size)
+        return (np.concatenate(flat), np.concatenate(sizes).astype(np.int64)) if flat else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def parts(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of each byte range (disjoint, ascending)."""
         h = hash_ranges(buf, start, end)

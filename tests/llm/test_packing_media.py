@@ -145,3 +145,17 @@ def test_sequences_of_documents_position_by_position(spark):
     for doc_id, items in got.items():
         assert [(i.position, i.kind, i.n_chars) for i in outlined[doc_id]["items"]] == [(p, k, None if t is None else len(t)) for p, k, t, *_ in items]
         assert items[outlined[doc_id].position][1] == "media" and outlined[doc_id].feature is not None
+
+
+def test_words_encoded_together_have_the_ids_of_each_alone():
+    rng = random.Random(6)
+    odd = ["it's", "don't", "'s", "--", "a,b", "x.", "été", "漢字", "\U0001f642", "12a3", " z", "q r", "_", "Å"]
+    for kinds in (odd[:9], odd, ["".join(rng.choice("abc'.,1é") for _ in range(rng.randint(1, 9))) for _ in range(300)]):
+        words = [" " + rng.choice(kinds) for _ in range(3000)]
+        data = [w.encode() for w in words]
+        size = np.array([len(x) for x in data])
+        end = np.cumsum(size)
+        enc = tokens.Encoder()
+        ids, n = enc._encode(np.frombuffer(b"".join(data), np.uint8), end - size, end)
+        want = [enc.bpe.encode_ordinary(w) for w in words]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
