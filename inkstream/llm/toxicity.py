@@ -8,12 +8,13 @@ whose continuation counts are those of both classes together. So an expression
 that is rare in either class still is judged by the pieces it is made of.
 
 A document is judged by length-normalised differences of the two log-likelihoods:
-the mean over the best window of ``WINDOW`` words, the sum over strongly toxic
-words by the root of the number of words, the best word, the mean of the best
-three, and the best word by the root of its length. A logistic function of the
-five gives the score; it is fitted on
-cross-fitted values (each training document is measured by models that haven't
-seen its fold).
+of the whole text, by its words and by its bytes; of its distinct words, by the
+root of their number; and, as a long text can be toxic in few places, of its most
+toxic spans: the window of ``WINDOW`` words with the largest mean, the words whose
+difference is above ``STRONG`` by the root of the number of words, the best word,
+the mean of the best three, and the best word by the root of its length. A
+logistic function of these gives the score; it is fitted on cross-fitted values
+(each training document is measured by models that haven't seen its fold).
 
 The labelled sample is bounded: at most about ``per_class`` training documents of
 each class, picked by a hash of their id. Everything else covers all rows.
@@ -38,7 +39,8 @@ from .textscan import LOWER, U, _SPACE, words
 
 APART = _SPACE.copy()
 APART[[b for b in range(128) if not chr(b).isalnum()]] = True
-WINDOW, FOLDS, DISCOUNT, PER_CLASS, CLIP, MEASURES = 8, 5, 0.75, 3000, 6.0, 5
+WINDOW, FOLDS, DISCOUNT, PER_CLASS, STRONG, MEASURES = 8, 5, 0.75, 3000, 3.0, 8
+NAMES = [f"m{k}" for k in range(MEASURES)]
 _CTX = 6
 
 
@@ -140,7 +142,7 @@ def word_llr(model: Model, buf: np.ndarray, start: np.ndarray, end: np.ndarray)
 
 
 def measures(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Five length-normalised differences for each row; zeros for a row without words."""
+    """Length-normalised differences for each row; zeros for a row without words."""
     w = words(buf, offsets, apart=APART)
     n = len(offsets) - 1
     out = np.zeros((n, MEASURES))
@@ -148,29 +150,32 @@ def measures(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return out
     _, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
     own = word_llr(model, buf, w.start[first], w.end[first])
-    llr = own[back]
+    llr, size = own[back], w.end - w.start + 1
     full = np.flatnonzero(w.count)
     begin = (np.cumsum(w.count) - w.count)[full]
+    whole = np.add.reduceat(llr, begin)
+    out[full, 0] = whole / w.count[full]
+    out[full, 1] = whole / np.add.reduceat(size, begin)
+    # distinct words, the strongest first within each row
+    pair = np.unique(w.row * np.int64(len(own)) + back)
+    row, value = pair // len(own), own[pair % len(own)]
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kinds = np.maximum(np.bincount(row, minlength=n), 1)
+    out[:, 2] = np.bincount(row, weights=value, minlength=n) / np.sqrt(kinds)
     total = np.concatenate(([0.0], np.cumsum(llr)))
     row_end = (np.cumsum(w.count))[w.row]
     i = np.arange(len(llr))
     stop = np.minimum(i + WINDOW, row_end)
     mean = (total[stop] - total[i]) / (stop - i)
     mean[(i + WINDOW > row_end) & (i != row_end - w.count[w.row])] = -np.inf
-    out[full, 0] = np.clip(np.maximum.reduceat(mean, begin), -3, 3)
-    # distinct words that speak for the toxic class, the strongest first within each row
-    for_it = np.flatnonzero(llr > 0)
-    pair = np.unique(w.row[for_it] * np.int64(len(own)) + back[for_it])
-    row, value = pair // len(own), np.minimum(own[pair % len(own)], CLIP)
-    order = np.lexsort((-value, row))
-    row, value = row[order], value[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    distinct = np.maximum(w.count, 1)
-    strong = value > 3
-    out[:, 1] = np.bincount(row[strong], weights=value[strong], minlength=n) / np.sqrt(distinct)
-    out[:, 2] = np.bincount(row[place == 0], weights=value[place == 0], minlength=n)
-    out[:, 3] = np.bincount(row[place < 3], weights=value[place < 3], minlength=n) / 3
-    out[full, 4] = np.maximum.reduceat(llr / np.sqrt(w.end - w.start + 1), begin)
+    out[full, 3] = np.maximum.reduceat(mean, begin)
+    strong, toxic = value > STRONG, np.maximum(value, 0)
+    out[:, 4] = np.bincount(row[strong], weights=value[strong], minlength=n) / np.sqrt(np.maximum(w.count, 1))
+    out[:, 5] = np.bincount(row[place == 0], weights=toxic[place == 0], minlength=n)
+    out[:, 6] = np.bincount(row[place < 3], weights=toxic[place < 3], minlength=n) / 3
+    out[full, 7] = np.maximum.reduceat(llr / np.sqrt(size), begin)
     return out
 
 
@@ -269,21 +274,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, per_class:
             for b in batches:
                 if b.num_rows:
                     x = np.vstack([measures(sent.value, buf[o[lo] : o[hi]], o[lo : hi + 1] - o[lo]) for buf, o in [text_column(b.column(0))] for lo, hi in pieces(o, 1 << 20)])
-                    yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(MEASURES))], names=["toxic", *"abcde"])
+                    yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(MEASURES))], names=["toxic", *NAMES])
 
-        found.append(sample.where(F.col("fold") == i).select("text", "toxic").mapInArrow(released(run), "toxic int, a double, b double, c double, d double, e double").toPandas())
+        found.append(sample.where(F.col("fold") == i).select("text", "toxic").mapInArrow(released(run), "toxic int, " + ", ".join(f"{k} double" for k in NAMES)).toPandas())
         sent.unpersist()
     y = np.concatenate([f["toxic"].to_numpy() for f in found]).astype(float)
-    x = np.vstack([f[[*"abcde"]].to_numpy() for f in found])
+    x = np.vstack([f[NAMES].to_numpy() for f in found])
     if len(set(y)) < 2:
         return Detector(None)
     return Detector(final, *logistic(x, y, np.where(y == 1, 1 / share[1], 1 / share[0])))
 
 
-def scored(docs: DataFrame, detector: Detector) -> DataFrame:
-    """All columns of ``docs`` in the struct ``row``, and ``score``."""
+def scored(docs: DataFrame, detector: Detector, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those of ``keep``) in the struct ``row``, and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(detector)
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -304,17 +309,6 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    detector = fit(docs, labels)
-    sent = spark.sparkContext.broadcast(detector)
-
-    def run(batches):
-        for b in batches:
-            buf, off = text_column(b.column(1))
-            for lo, hi in pieces(off, 1 << 20):
-                s = sent.value.score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    return docs.mapInArrow(released(run), "doc_id long, score double").select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    found = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=["doc_id"])
+    doc_id = F.col("row").getField("doc_id")
+    return found.select(doc_id.alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

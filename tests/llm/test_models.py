@@ -98,6 +98,42 @@ def test_llr_equals_direct_probabilities():
         assert abs(toxicity.word_llr(m, b, o[:-1], o[1:])[0] - want) < 1e-4
 
 
+def slow_measures(model, text):
+    """The differences said word by word."""
+    found = [(m.start(), m[0]) for m in re.finditer(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").translate({i: i + 32 for i in range(65, 91)}))]
+    if not found:
+        return [0.0] * toxicity.MEASURES
+
+    def llr(word):
+        b, o = text_column(pa.array([word.encode()], pa.binary()))
+        return float(toxicity.word_llr(model, b, o[:-1], o[1:])[0])
+
+    words = [w for _, w in found]
+    x, size = [llr(w) for w in words], [len(w.encode()) + 1 for w in words]
+    kinds = {w: v for w, v in zip(words, x)}
+    best = sorted(kinds.values(), reverse=True)
+    k = toxicity.WINDOW
+    spans = [x[i : i + k] for i in range(max(1, len(x) - k + 1))]
+    return [
+        sum(x) / len(x), sum(x) / sum(size), sum(best) / math.sqrt(len(best)), max(sum(s) / len(s) for s in spans), sum(v for v in best if v > 3) / math.sqrt(len(x)),
+        max(best[0], 0), sum(max(v, 0) for v in best[:3]) / 3, max(v / math.sqrt(n) for v, n in zip(x, size)),
+    ]
+
+
+def test_scores_equal_a_slow_computation(spark, sf):
+    """The registered query's score is the logistic function of the differences of the whole text."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    d = toxicity.fit(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in toxicity.op5(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows[::9]:
+        z = sum(w * (m - a) / b for w, m, a, b in zip(d.weights, slow_measures(d.model, r.text), d.mean, d.scale)) + d.weights[-1]
+        want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert abs(got[r.doc_id].score - want) < 1e-5 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_awkward_rows(spark):
     df = clashing(documents(spark))
     schema = "doc_id long, quality int, toxic int"
