@@ -24,28 +24,29 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def rotate(turns: DataFrame, block: int = 64) -> DataFrame:
+    # a conversation's key without nulls, so that joins and windows can share a partitioning
     t = turns.select(
+        F.coalesce("conv_id", F.lit(0)).alias("key"), F.col("conv_id").isNull().alias("none"),
         "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).alias("block"),
     )
-    seats = t.where(F.col("role") != "system").select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
+    conversation, part = ["key", "none"], ["key", "none", "block"]
+    seats = t.where(F.col("role") != "system").select(*conversation, F.col("role").alias("perspective")).distinct()
+    # seats of each block: what meets on the conversation alone are distinct rows, not turns
+    seats = t.select(*part).distinct().join(seats, conversation)
     own = F.col("role") == F.col("perspective")
     head = F.when(F.col("role") == "system", F.lit("system")).when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.col("role")))
     seen = (
-        t.join(seats, F.col("conv_id").eqNullSafe(F.col("_conv")))
-        .select("conv_id", "perspective", "turn", "block", "role", "text", own.alias("learn"), F.concat(F.lit(OPEN), head, F.lit("\n")).alias("head"))
+        t.join(seats, part)
+        .select(*part, "conv_id", "perspective", "turn", "role", "text", own.alias("learn"), F.concat(F.lit(OPEN), head, F.lit("\n")).alias("head"))
         .withColumn("segment", F.concat("head", "text", F.lit(CLOSE)))
     )
-    sums = seen.groupBy("conv_id", "perspective", "block").agg(F.sum(F.length("segment")).alias("size"))
-    over_blocks = W.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(
-        F.col("conv_id").alias("_conv"), F.col("perspective").alias("_seat"), F.col("block").alias("_block"),
-        F.coalesce(F.sum("size").over(over_blocks), F.lit(0)).alias("base"),
-    )
-    within = W.partitionBy("conv_id", "perspective", "block").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    sums = seen.groupBy(*part, "perspective").agg(F.sum(F.length("segment")).alias("size"))
+    over_blocks = W.partitionBy(*conversation, "perspective").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*part, "perspective", F.coalesce(F.sum("size").over(over_blocks), F.lit(0)).alias("base"))
+    within = W.partitionBy(*part, "perspective").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
     end = F.col("base") + F.sum(F.length("segment")).over(within)
-    placed = seen.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_seat")) & (F.col("block") == F.col("_block")))
-    return placed.withColumn("char_end", end.cast("long")).select(
+    return seen.join(starts, [*part, "perspective"]).withColumn("char_end", end.cast("long")).select(
         "conv_id", "perspective", "turn", "segment", "learn",
         (F.col("char_end") - F.length("segment")).alias("char_start"), "char_end",
         F.when(F.col("learn"), F.col("char_end") - F.length("segment") + F.length("head")).cast("long").alias("mask_start"),

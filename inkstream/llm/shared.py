@@ -14,13 +14,16 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests on one
-    machine) a folder under /tmp is used.
+    Only a session that runs in this one process (``local``) may leave it unset; its
+    executors are threads of the driver, and a folder under /tmp serves all of them.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/inkstream-work"
     return base.rstrip("/")
 

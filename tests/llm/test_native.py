@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from inkstream.llm import chat, mixing
+from inkstream.llm import chat, mixing, shared
 
 from ..test_queries import rows
 from .helpers import clashing, documents
@@ -124,3 +124,23 @@ def test_no_python_in_native_plans(spark, sf):
     for q in (chat.op2, mixing.op9):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_conversation_with_most_of_all_turns(spark):
+    """Its turns meet their seats block by block: no key of the join has more rows than a block."""
+    data = [(7, i, ["ann", "bob", "cy"][i % 3], "x" * (i % 5)) for i in range(3000)] + [(100 + i, 0, "ann", "hi") for i in range(50)]
+    t = spark.createDataFrame(data, TURNS)
+    same(chat.rotate(t), chat.ORACLE, conversations=t)
+    plan = chat.rotate(t)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert any("block" in x for x in joins)
+
+
+def test_a_cluster_must_name_the_shared_folder(spark):
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared.work_dir(Cluster)
+    assert shared.work_dir(spark)
