@@ -57,6 +57,13 @@ def batches(df: DataFrame, order: str, size: int = 10) -> DataFrame:
     return numbered(df, order, "_position").withColumn("batch", F.floor((F.col("_position") - 1) / size)).drop("_position")
 
 
+def progress(df: DataFrame, order: str, every: int = 10) -> DataFrame:
+    """(done, total) at every ``every``-th row."""
+    total = df.count()
+    marks = numbered(df, order, "done").where(F.col("done") % every == 0).select("done")
+    return marks.select("done", F.lit(total).cast("long").alias("total"))
+
+
 def rate(ok: Column, total: Column) -> Column:
     return F.when(total > 0, F.lit(100.0) * ok / total).otherwise(F.lit(0.0))
 

@@ -12,15 +12,25 @@ from ..functions import scalars as S
 PAGE = "https://pubmed.ncbi.nlm.nih.gov"  # fixed value: where a record's page is
 
 
+def _matched(docs: DataFrame, catalogue: DataFrame, key: Column, catalogue_key: Column) -> DataFrame:
+    """``docs`` with ``_hit``, the catalogue's row of the same non-empty key with the least pmid. Rows without a key don't
+    take part in the join, so that they aren't all sent to one task."""
+    known = catalogue.withColumn("_key", catalogue_key).where("_key <> ''").groupBy("_key").agg(F.min_by(F.struct(*catalogue.columns), "pmid").alias("_hit"))
+    keyed = docs.withColumn("_key", key)
+    with_key = keyed.where("_key <> ''").join(known, "_key", "left").drop("_key")
+    without = keyed.where("coalesce(_key, '') = ''").drop("_key").withColumn("_hit", F.lit(None).cast(known.schema["_hit"].dataType))
+    return with_key.unionByName(without)
+
+
 def lookup(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``docs`` (title, doi) with the catalogue's hit as struct ``hit``: by DOI, else by title; one hit at most.
 
-    A search over free text has no counterpart in a table lookup and isn't offered."""
-    by_doi = catalogue.groupBy(S.normalize_doi(F.col("doi")).alias("_doi")).agg(F.min_by(F.struct("*"), "pmid").alias("_by_doi")).where("_doi <> ''")
-    by_title = catalogue.groupBy(S.strip(S.normalize_title(S.search_title(F.col("title")))).alias("_title")).agg(F.min_by(F.struct("*"), "pmid").alias("_by_title")).where("_title <> ''")
-    keyed = docs.withColumn("_doi", S.normalize_doi(F.col("doi"))).withColumn("_title", S.strip(S.normalize_title(S.search_title(F.col("title")))))
-    found = keyed.join(by_doi, "_doi", "left").join(by_title, "_title", "left")
-    return found.withColumn("hit", F.coalesce("_by_doi", "_by_title")).drop("_doi", "_title", "_by_doi", "_by_title")
+    A search over free text has no counterpart in a table; ``sources.lookup`` asks a service for it."""
+    title = lambda t: S.strip(S.normalize_title(S.search_title(F.col(t))))
+    by_doi = _matched(docs, catalogue, S.normalize_doi(F.col("doi")), S.normalize_doi(F.col("doi"))).withColumnRenamed("_hit", "_by_doi")
+    # what a DOI has found isn't looked up by title
+    rest = _matched(by_doi, catalogue, F.when(F.col("_by_doi").isNull(), title("title")), title("title"))
+    return rest.withColumn("hit", F.coalesce("_by_doi", "_hit")).drop("_by_doi", "_hit")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -29,16 +39,21 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def verify(local_title: Column, local_doi: Column, hit_title: Column, hit_doi: Column, least: float = 0.9, ratio: Column | None = None) -> Column:
+def verify(local_title: Column, local_doi: Column, hit_title: Column, hit_doi: Column, least: float = 0.9) -> Column:
     """struct(verified, use_doi): two DOIs decide alone; else the titles do."""
     a, b = S.normalize_doi(local_doi), S.normalize_doi(hit_doi)
     t, u = S.normalize_title(local_title), S.normalize_title(hit_title)
     there = lambda x: F.coalesce(x, F.lit("")) != ""
-    alike = there(local_title) & there(hit_title) & ((t == u) | ((ratio if ratio is not None else similarity(t, u)) >= least))
+    alike = there(local_title) & there(hit_title) & ((t == u) | (similarity(t, u) >= least))
     both = there(local_doi) & there(hit_doi)
     return F.struct(F.when(both, a == b).otherwise(alike).alias("verified"), (both & (a == b)).alias("use_doi"))
 
 
+def decided(least: float = 0.9) -> Column:
+    """The decision on a document (title, doi) and its hit."""
+    return verify(F.col("title"), F.col("doi"), F.col("hit.title"), F.col("hit.doi"), least)
+
+
 def outcome(docs: DataFrame, decision: Column) -> DataFrame:
     """``docs`` (title, corpus, hit) as Title, Citation, Link, Corpus: the hit's if verified, else a fallback."""
     d = docs.withColumn("_d", decision)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..functions.rules import Rules
+from ..config import AcquisitionConfig
 from ..operators import cleaner, delta, enrich, html, publish
-from . import overlay
+from ..sources import acquire, lookup
+from . import jobs, overlay
 
 RUN_DATE, RUN_YEAR = "2024-01-01", "2024"
 QUERIES: dict = {}
@@ -340,10 +342,11 @@ def normalize_title(spark, d):
     return table(spark, d, "documents").select("doc_id", S.normalize_title(F.col("text")).alias("title"))
 
 
-@query()
+@query(f"SELECT p_partkey, 2.0::DOUBLE * length(t) / (2 * length(t) + 3) AS ratio FROM (SELECT p_partkey, {_put(NORM_TITLE_SQL, _put(STRIP, 'p_name'))} AS t FROM part)")
 def title_similarity(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", S.normalize_title(F.element_at(F.split("text", "\n"), 1)).alias("title"))
-    return docs.select("doc_id", enrich.similarity(F.col("title"), F.concat(F.col("title"), F.lit(" ii"))).alias("ratio"))
+    """Of each title and the same with three more characters, which the ratio finds again as one block."""
+    titles = table(spark, d, "part").select("p_partkey", S.normalize_title(F.col("p_name")).alias("title"))
+    return titles.select("p_partkey", enrich.similarity(F.col("title"), F.concat(F.col("title"), F.lit(" ii"))).alias("ratio"))
 
 
 # ---- enrichment ----
@@ -394,12 +397,6 @@ def found(spark, d):
     return enrich.lookup(articles(spark, d), catalogue(spark, d))
 
 
-def _judgement():
-    """Exact titles only, as the SQL has no gestalt ratio; verify() itself takes the ratio."""
-    same = (S.normalize_title(F.col("title")) == S.normalize_title(F.col("hit.title"))).cast("double")
-    return enrich.verify(F.col("title"), F.col("doi"), F.col("hit.title"), F.col("hit.doi"), ratio=same)
-
-
 @query(LOOKUP_SQL + "SELECT doc_id, pmid, h_title AS title FROM hits")
 def lookup_cascade(spark, d):
     return found(spark, d).select("doc_id", "hit.pmid", "hit.title")
@@ -407,15 +404,19 @@ def lookup_cascade(spark, d):
 
 @query(LOOKUP_SQL + "SELECT doc_id, coalesce(verified, false) AS verified, coalesce(use_doi, false) AS use_doi FROM judged")
 def verify_doc(spark, d):
-    x = found(spark, d).withColumn("v", _judgement())
+    x = found(spark, d).withColumn("v", enrich.decided())
     return x.select("doc_id", F.coalesce("v.verified", F.lit(False)).alias("verified"), F.coalesce("v.use_doi", F.lit(False)).alias("use_doi"))
 
 
-@query()
+_N = f"length({_put(NORM_TITLE_SQL, 'trim(h_title)')})"
+
+
+@query(LOOKUP_SQL + f"""SELECT doc_id, coalesce(CASE WHEN doi IS NOT NULL AND h_doi IS NOT NULL THEN use_doi ELSE title IS NOT NULL AND h_title IS NOT NULL AND 2.0 * {_N} / (2 * {_N} + 3) >= 0.9 END, false) AS verified,
+       coalesce(use_doi, false) AS use_doi FROM judged""")
 def verify_by_similarity(spark, d):
-    x = found(spark, d).withColumn("title", F.concat(F.col("title"), F.lit(" ed")))
-    v = enrich.verify(F.col("title"), F.col("doi"), F.col("hit.title"), F.col("hit.doi"))
-    return x.withColumn("v", v).select("doc_id", F.coalesce("v.verified", F.lit(False)).alias("verified"), F.coalesce("v.use_doi", F.lit(False)).alias("use_doi"))
+    """Titles three characters longer than the hit's: alike from fourteen characters on."""
+    x = found(spark, d).withColumn("title", F.concat(F.col("title"), F.lit(" ed"))).withColumn("v", enrich.decided())
+    return x.select("doc_id", F.coalesce("v.verified", F.lit(False)).alias("verified"), F.coalesce("v.use_doi", F.lit(False)).alias("use_doi"))
 
 
 AUTHORS_SQL = "CASE WHEN len({0}) = 0 THEN 'Unknown' WHEN len({0}) = 1 THEN {0}[1] WHEN len({0}) <= 3 THEN array_to_string({0}[1:-2], ', ') || ', & ' || {0}[-1] ELSE {0}[1] || ' et al.' END"
@@ -446,7 +447,7 @@ FROM judged)
 
 
 def enriched(spark, d):
-    return enrich.outcome(found(spark, d), _judgement())
+    return enrich.outcome(found(spark, d), enrich.decided())
 
 
 @query(ENRICHED_SQL + "SELECT * FROM enriched")
@@ -460,6 +461,47 @@ def dead_letter(spark, d):
     return enrich.split_failed(short)[1].select("doc_id", "reason")
 
 
+@query(ENRICHED_SQL + """SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN length("Corpus") < 200 THEN 'failed' ELSE 'success' END AS status, count(*) AS n
+FROM enriched e LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = e.doc_id GROUP BY 1""")
+def enrichment_status(spark, d):
+    """What a run over documents makes of them; labelled ones count as done."""
+    done = table(spark, d, "labels").select("doc_id").distinct()
+    short = F.when(F.length("corpus") < 200, F.lit("")).otherwise(F.col("corpus"))
+    good, bad = jobs.enrich_documents(spark, articles(spark, d).withColumn("corpus", short).withColumn("stem", F.col("doc_id")), done.withColumnRenamed("doc_id", "stem"), catalogue(spark, d))
+    skipped = articles(spark, d).join(done, "doc_id", "left_semi").select(F.lit("skipped").alias("status"))
+    every = good.select(F.lit("success").alias("status")).unionByName(bad.select(F.lit("failed").alias("status"))).unionByName(skipped)
+    return every.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _service():
+    """A bibliographic service that knows DOIs of even length, titles of a length divisible by three, and texts by five."""
+
+    def ask(endpoint, parameters):
+        if endpoint == lookup.FETCH:
+            i = parameters["id"]
+            return f"<a><PubmedArticle><ArticleTitle>Title {i}</ArticleTitle><Journal><Title>J</Title></Journal><PubDate><Year>2001</Year></PubDate><Author><LastName>Ash</LastName><ForeName>A</ForeName></Author></PubmedArticle></a>"
+        for mark, letter, by in (("[DOI]", "d", 2), ("[Title]", "t", 3), ("", "x", 5)):
+            if parameters["term"].endswith(mark):
+                n = len(parameters["term"].removesuffix(mark).strip('"'))
+                return f"<r><IdList>{f'<Id>{letter}{n}</Id>' if n % by == 0 else ''}</IdList></r>"
+
+    return ask
+
+
+SERVICE_SQL = f"""
+WITH art AS (SELECT DISTINCT title, doi FROM ({ARTICLES_SQL})), n AS (SELECT title, doi, length(trim(doi)) AS d, length(title) AS t FROM art),
+f AS (SELECT *, CASE WHEN d % 2 = 0 THEN 'doi' WHEN t % 3 = 0 THEN 'title' WHEN t % 5 = 0 THEN 'text' END AS found_by FROM n),
+p AS (SELECT *, CASE found_by WHEN 'doi' THEN 'd' || d WHEN 'title' THEN 't' || t WHEN 'text' THEN 'x' || t END AS pmid FROM f)
+SELECT title, doi, found_by, pmid, 'Ash, A. (2001). Title ' || pmid || '. J' AS citation, '{enrich.PAGE}/' || pmid AS link FROM p"""
+
+
+@query(SERVICE_SQL)
+def service_lookup(spark, d):
+    """The cascade of searches against a stand-in for the service."""
+    found = lookup.hits(articles(spark, d), _service, lookup.Account("key"), partitions=2, sleep=lambda _: None)
+    return found.select("title", "doi", "found_by", "hit.pmid", "hit.citation", "hit.link")
+
+
 # ---- publish ----
 
 WEB_KEYS = (("RAG_ID", "doc_id % 2 = 0", "md5('x' || doc_id)"), ("Title", "doc_id % 3 <> 0", "source"), ("Description", "doc_id % 5 <> 1", "lang"), ("Date", "doc_id % 7 <> 0", "'May ' || doc_id"), ("Webpage", "true", "'https://x.org/' || doc_id"), ("Corpus", "doc_id % 4 <> 3", "text"))
@@ -506,7 +548,10 @@ def passthrough(spark, d):
     return table(spark, d, "documents")
 
 
-@query()
+_JSON = ", ".join(["'\"doc_id\":' || doc_id"] + [f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c})::VARCHAR END""" for c in ("content", "source", "url", "date", "version", "title", "description", "rag_id")])
+
+
+@query(f"SELECT '{{' || array_to_string(list_filter([{_JSON}], lambda v: v IS NOT NULL), ',') || '}}' AS value FROM ({WEB_SQL})")
 def jsonl_lines(spark, d):
     return publish.json_lines(web_records(spark, d))
 
@@ -539,34 +584,73 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", S.strip(F.regexp_replace(html.title_of(F.col("html")), r"\s+", " ")).alias("title"))
 
 
-@query()
+_INNER = _put(STRIP, "regexp_replace(b, '<[^>]*>', '', 'g')")
+for _entity, _char in (("&quot;", '"'), ("&amp;", "&")):
+    _INNER = f"replace({_INNER}, '{_entity}', '{_char}')"
+BLOCKS_SQL = f"""SELECT page_id, url, list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<(?:p|h1)>(?:[^<]|</?b>|<br>)*'),
+  lambda b: {{'tag': regexp_extract(b, '^<(\\w+)', 1), 'text': {_INNER}}}), lambda s: s.text <> '') AS blocks FROM pages"""
+CONTENT_SQL = f"SELECT page_id, url, CASE WHEN length(t) > 50 THEN t ELSE '' END AS text FROM (SELECT page_id, url, array_to_string(list_transform(blocks, lambda s: s.text), chr(10) || chr(10)) AS t FROM ({BLOCKS_SQL}))"
+
+
+@query(f"SELECT page_id, text FROM ({CONTENT_SQL})")
 def main_content(spark, d):
     return table(spark, d, "pages").select("page_id", html.main_content(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, seq::INT AS seq, s.tag AS tag, s.text AS text FROM (SELECT page_id, unnest(range(len(blocks))) AS seq, unnest(blocks) AS s FROM ({BLOCKS_SQL}))")
 def page_blocks(spark, d):
     return table(spark, d, "pages").select("page_id", F.inline(html.page_blocks(F.col("html"))))
 
 
-@query()
+@query(f"SELECT page_id, 0 AS pos, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title, 'page ' || page_id AS description, 'May 1' AS date, url FROM pages")
 def listing_rows(spark, d):
-    """Each page's title, language and date as a table row, read back from HTML."""
-    row = F.concat(F.lit("<table><tr><th>h</th></tr><tr><td><a href='/p/"), F.col("page_id").cast("string"), F.lit("'>"), F.lit("T "), F.col("page_id").cast("string"), F.lit("</a><td>D<td>May 1</table>"))
-    rows = html.listing_rows(row, F.lit("https://x.org/list"))
-    return table(spark, d, "pages").select("page_id", F.inline(rows))
+    """Each page's title and address as a table of one row, read back from HTML."""
+    pages = table(spark, d, "pages").select("page_id", "url", S.strip(F.regexp_replace(html.title_of(F.col("html")), r"\s+", " ")).alias("title"))
+    escaped = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = F.concat(F.lit("<table><tr><th>h</th></tr><tr><td><a href='"), "url", F.lit("'>"), escaped, F.lit("</a><td>page "), F.col("page_id").cast("string"), F.lit("<td>May 1</table>"))
+    return pages.select("page_id", F.inline(html.listing_rows(row, F.lit("https://x.org/list"))))
 
 
-@query()
+@query(f"SELECT page_id, length(text) > 50 AS kept FROM ({CONTENT_SQL})")
 def min_length(spark, d):
     text = html.main_content(F.col("html"))
     return table(spark, d, "pages").select("page_id", text.alias("text")).select("page_id", (F.length("text") > 50).alias("kept"))
 
 
+# ---- acquisition ----
+
+
+def _stand_in():
+    return lambda url: (404, "") if len(url) % 7 == 0 else (200, f"body of {url}")
+
+
+@query("SELECT DISTINCT url, CASE WHEN length(url) % 7 = 0 THEN '' ELSE 'body of ' || url END AS html, CASE WHEN length(url) % 7 = 0 THEN 'status 404' END AS issue FROM pages")
+def fetch_outcomes(spark, d):
+    """Fetching through a stand-in for the network, without pauses."""
+    return acquire.pages(table(spark, d, "pages"), _stand_in, AcquisitionConfig(standard_delay=0, node_delay=0, batch_pause=0), partitions=2)
+
+
+@query(f"SELECT md5({NODE_SQL}) AS rag_id, source AS title, {NODE_SQL} AS webpage, 'No content' AS issue FROM documents WHERE NOT length(text) > 500 ORDER BY doc_id LIMIT 5")
+def first_problems(spark, d):
+    rows = _scraped(spark, d).select("doc_id", F.col("source").alias("title"), F.col("url").alias("webpage"), F.when(F.col("ok"), "text").otherwise("").alias("text"), S.rag_id(F.col("url")).alias("rag_id"))
+    return jobs.first_problems(rows, F.col("doc_id"))
+
+
+@query("SELECT n AS done, (SELECT count(*) FROM pages) AS total FROM (SELECT row_number() OVER (ORDER BY page_id) AS n FROM pages) WHERE n % 10 = 0")
+def progress_marks(spark, d):
+    return delta.progress(table(spark, d, "pages").select("page_id"), "page_id")
+
+
 # ---- one run from end to end ----
 
+INGESTED = f"SELECT page_id AS doc_id, text FROM ({CONTENT_SQL}) WHERE NOT contains(url, '/en/') AND text <> ''"
+INGEST_SQL = f"""
+SELECT c.doc_id AS page_id, {_put(STRIP, _put(UNESCAPE_SQL, _put(IMAGES_SQL, _put(UNWRAP_SQL, 'c.corpus'))))} AS content, 'web' AS source, p.url, '{RUN_DATE}' AS date, '1.0' AS version,
+       NULL::VARCHAR AS title, NULL::VARCHAR AS description, md5(p.url) AS rag_id
+FROM ({CLEAN_SQL.replace(overlay.SQL, INGESTED)}) c JOIN pages p ON p.page_id = c.doc_id"""
+
 
-@query()
+@query(INGEST_SQL)
 def ingest_pages(spark, d):
     """New pages to clean, keyed records: delta before extraction, as extraction is the costly part."""
     pages = table(spark, d, "pages").select("page_id", "url", "html", S.rag_id(F.col("url")).alias("rag_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import delta
@@ -23,6 +26,36 @@ def read_master(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
+def retire(spark: SparkSession, path: str) -> None:
+    """Delete a folder that has served its purpose, if it is there."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def megabytes(spark: SparkSession, path: str) -> float:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() / 1e6 if fs.exists(p) else 0.0
+
+
+def append_batch(spark: SparkSession, batch: DataFrame, path: str, stats: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append ``batch``, which may be computed from the table at ``path``, and return ``stats`` of it (a row or a few).
+
+    The batch is written whole beside the table and measured there; its files then are renamed into the table, which
+    costs no second write, and the folder goes. Files of a run that was broken off have that run's name and stay beside."""
+    spark_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staged = f"{path.rstrip('/')}.batch-{uuid.uuid4().hex}"
+    batch.write.parquet(staged)
+    measured = stats(spark.read.parquet(staged))
+    measured = spark.createDataFrame(measured.collect(), measured.schema)
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    for f in fs.listStatus(spark_path(staged)):
+        if f.getPath().getName().endswith(".parquet"):
+            fs.rename(f.getPath(), spark_path(p, f.getPath().getName()))
+    retire(spark, staged)
+    return measured
+
+
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Replace the table at ``path``, which ``df`` may be read from: write beside it, then rename."""
     staged, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
