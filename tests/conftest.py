@@ -10,10 +10,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYT
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tmp_path_factory.mktemp("work").as_uri()).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
