@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 FEW = 1_000_000
 
@@ -66,6 +66,7 @@ def components(links: DataFrame, few: int = FEW) -> DataFrame:
         if (r[0], r[1]) == sign or not r[0]:
             break
         sign = (r[0], r[1])
-        now = staged(_small_star(_large_star(now)), "links")
+        before, now = now, staged(_small_star(_large_star(now)), "links")
+        discard(before)
     # every node now points at its component's least node
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

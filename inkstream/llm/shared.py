@@ -49,7 +49,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/inkstream/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and getattr(df, "_staged_at", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def released(run):

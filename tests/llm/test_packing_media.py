@@ -14,12 +14,12 @@ from inkstream.llm.shared import text_column
 
 from .helpers import awkward, clashing, documents, prose
 
-hf = pytest.importorskip("tokenizers")
-
 
 def reference():
     import public_tokenizers
 
+    hf = pytest.importorskip("tokenizers")
+
     t = hf.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t
@@ -79,6 +79,20 @@ def test_hot_length_gets_every_slot_once(spark):
     assert len(got) == 5000 and len({(r.sequence_id, r.offset) for r in got}) == 5000
 
 
+def pattern_bound(lengths, window=2048):
+    """Sequences that no packing can do without: by total length, and by pieces of which no two, or no three, fit together."""
+    total = -(-sum(lengths) // window)
+    return max(total, sum(2 * n > window for n in lengths), -(-sum(3 * n > window for n in lengths) // 2))
+
+
+@pytest.mark.parametrize("low,high,most", [(1, 2048, 1.01), (1, 300, 1.001), (400, 900, 1.08), (600, 1100, 1.12), (683, 1024, 1.001), (1025, 2048, 1.0)])
+def test_sequences_come_near_the_least_number(low, high, most):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(20_000)]
+    used = max(first + hi - lo for _, lo, hi, first, _ in packing.plan(Counter(lengths)))
+    assert used <= most * pattern_bound(lengths)
+
+
 def test_png_round_trip():
     rng = random.Random(1)
     for n in (0, 1, 575, 576, 577, 5000):

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline as P
 from inkstream.llm import ngram_join, packing
 
-from .helpers import clashing
+from .helpers import awkward, clashing, documents
 from .test_pairs import brute, brute_lines
 
 
@@ -68,3 +68,17 @@ def test_further_columns_stay(spark, sf):
 
 def test_wider_groups_stay_whole(spark):
     assert ngram_join.NGRAM == 5
+
+
+@pytest.mark.parametrize("kind", ["awkward", "empty"])
+def test_awkward_and_empty_documents_pass_all_stages(spark, sf, tmp_path, kind):
+    """Null and repeated ids, null and empty texts; and no documents at all."""
+    docs = documents(spark, awkward() + [(None, None, None, None, None)] * 3)
+    if kind == "empty":
+        docs = docs.limit(0)
+    counts = []
+    for k, (_, f) in enumerate(P.STAGES):
+        f(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        counts.append(docs.count())
+    assert counts == [0] * 5 if kind == "empty" else all(counts)
