@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
-from .shared import pieces, released, staged, text_column
+from .shared import pieces, released, small, staged, text_column
 from .textscan import U, mix, stream, words
 
 NGRAM = 5
@@ -342,11 +342,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """A written table of few columns of numbers, marked to be broadcast if it has ``FEW`` rows at most."""
-    return F.broadcast(keys) if keys.count() <= FEW else keys
-
-
 def _across(pairs: DataFrame, group: DataFrame, good: DataFrame, copies: DataFrame, docs: DataFrame, percent: int):
     """Components and links after the pairs are verified."""
     more = _verified(pairs, docs, percent)
@@ -383,7 +378,7 @@ def _still_apart(ends: DataFrame, group: DataFrame) -> DataFrame:
         now.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("role").bitwiseAND(PROBE) > 0).alias("probers"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         .where("c0 <> c1 AND probers > 0").select("sig", "members", "probers")
     )
-    return now.join(_small(staged(sizes, "apart-sizes")), "sig")
+    return now.join(small(staged(sizes, "apart-sizes"), FEW), "sig")
 
 
 def _settle(ends: DataFrame, group: DataFrame, good: DataFrame, copies: DataFrame, docs: DataFrame, percent: int, upto: int):
@@ -422,7 +417,7 @@ def _prefixes(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     )
 
     nodes = staged(large.select(F.col("node").alias("doc_id")).distinct(), "large-nodes")
-    texts = docs.join(_small(nodes), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).distinct()
+    texts = docs.join(small(nodes, FEW), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).distinct()
     tokens = staged(texts.mapInArrow(released(run), "node long, h long, sig long, n long"), "large-shingles")
     counts = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # shingles of one document alone are its rarest; their number says how many of the others belong to the prefix
@@ -494,7 +489,7 @@ def linked(docs: DataFrame, percent: int = 80, pairs_upto: int = 64, block: int
         .where("coalesce(cu, u) <> coalesce(cv, v)").select("sig").distinct().join(many, "sig", "left_semi")
     )
     ends = (
-        edges.join(_small(staged(apart, "apart")), "sig", "left_semi")
+        edges.join(small(staged(apart, "apart"), FEW), "sig", "left_semi")
         .select("sig", F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("ru").alias("role")), F.struct(F.col("v").alias("node"), F.col("rv").alias("role")))))
         .groupBy("sig", "node").agg(F.bit_or("role").alias("role"))
         .join(sets, F.col("node") == F.col("doc_id")).drop("doc_id")

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -54,6 +54,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def small(table: DataFrame, most: int) -> DataFrame:
+    """A written table, marked to be broadcast if it is counted to have ``most`` rows at most. Beyond that both sides of its
+    join are plain shuffles, in which the optimizer can split a key with very many rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

@@ -70,11 +70,11 @@ class Encoder:
             self._clear()
         flat, sizes = self._encode(buf, start[first], end[first])
         at = len(self.pool) + np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        known = np.concatenate((self.known, hashes[first]))
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.at = np.concatenate((self.at, at))[order].astype(np.int64)
-        self.size = np.concatenate((self.size, sizes))[order]
+        fresh = hashes[first]  # ascending, as all distinct hashes are
+        place = np.searchsorted(self.known, fresh)
+        self.at = np.insert(self.at, place, at)
+        self.size = np.insert(self.size, place, sizes)
+        self.known = np.insert(self.known, place, fresh)
         self.pool = np.concatenate((self.pool, flat))
 
     def _encode(self, buf, start, end) -> tuple[np.ndarray, np.ndarray]:
