@@ -525,3 +525,13 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: In the driver's pages the main text is what stands in the article element, of headings and paragraphs.
+ORACLE = r"""
+WITH parts AS (SELECT page_id, url, regexp_extract_all(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '<(?:p|h1)>(?:[^<]|</?b>|<br>)*') AS found FROM pages),
+plain AS (
+  SELECT page_id, url, list_transform(found, lambda x: replace(replace(trim(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '&quot;', '"'), '&amp;', '&')) AS blocks
+  FROM parts)
+SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text, length(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM plain
+"""

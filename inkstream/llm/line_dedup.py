@@ -202,3 +202,24 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = G
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), counts=True)
+
+
+ORACLE = r"""
+WITH numbered AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
+bare AS (SELECT doc_id, no, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM numbered),
+solid AS (
+  SELECT *, row_number() OVER w AS k, sum(n) OVER w AS upto, sum(n) OVER w - n AS before
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM bare WHERE line <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+forwards AS (SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.before >= 50 GROUP BY ALL),
+backwards AS (SELECT b.doc_id, max(a.k) AS s, b.k AS e FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.before >= 50 GROUP BY ALL),
+spans AS (SELECT doc_id, s, e FROM forwards UNION SELECT doc_id, s, e FROM backwards),
+windows AS (
+  SELECT p.doc_id, p.s, p.e, min(l.no) AS first_no, max(l.no) AS last_no, string_agg(l.line, chr(10) ORDER BY l.k) AS content
+  FROM spans p JOIN solid l ON l.doc_id = p.doc_id AND l.k BETWEEN p.s AND p.e GROUP BY ALL),
+repeated AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first_no) AS place FROM windows),
+gone AS (SELECT DISTINCT n.doc_id, n.no FROM numbered n JOIN repeated r ON r.doc_id = n.doc_id AND r.place > 1 AND n.no BETWEEN r.first_no AND r.last_no),
+kept AS (SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.no) AS text FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.no = n.no WHERE g.no IS NULL GROUP BY n.doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(len(string_split(d.text, chr(10))), 1)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_deleted
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""

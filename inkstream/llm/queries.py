@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op8_html_extraction": html_crf.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
 }

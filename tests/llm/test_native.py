@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.llm import chat, mixing, shared
+from inkstream.llm.queries import ORACLES, QUERIES
 
 from ..test_queries import rows
 from .helpers import clashing, documents
@@ -144,3 +145,9 @@ def test_a_cluster_must_name_the_shared_folder(spark):
     with pytest.raises(RuntimeError):
         shared.work_dir(Cluster)
     assert shared.work_dir(spark)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_registered_queries_equal_their_sql(spark, sf, name):
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages", "conversations")}
+    same(QUERIES[name](spark, sf), ORACLES[name], **tables)
