@@ -53,7 +53,7 @@ INDEX, PROBE = 1, 2
 SHARED = 0.1  # how likely a shingle is to be shared by chance, for the costs
 PER_BUCKET = 400_000
 SKETCH = 16
-STARS, PER_SALT = 3, 500
+STARS, PER_SALT, OFTEN = 3, 500, 50_000
 FEW = 1_000_000
 
 
@@ -401,30 +401,67 @@ def _settle(ends: DataFrame, group: DataFrame, good: DataFrame, copies: DataFram
     return group, good, staged(_still_apart(large, group), "large")
 
 
+def _often(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(threshold, shingles in ascending order, counts) of the shingles with at least a threshold count, a power of two; at most ``OFTEN``."""
+    by_power = {r["p"]: r["n"] for r in counts.groupBy(F.floor(F.log2("df")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= 63 rows
+    power, held = max(by_power, default=0) + 1, 0
+    while power > 1 and held + by_power.get(power - 1, 0) <= OFTEN:
+        power -= 1
+        held += by_power.get(power, 0)
+    top = counts.where(F.col("df") >= F.lit(1 << power)).toArrow()  # <= OFTEN rows
+    order = np.argsort(top.column("sig").to_numpy())
+    return 1 << power, top.column("sig").to_numpy()[order], top.column("df").to_numpy()[order]
+
+
 def _prefixes(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(sig, node, role) for the rarest shingles of the documents in ``large``: of n shingles the rarest
-    n - ceil(percent * n / 100) + 1, counted over these documents. Two linked sets share one of them at least."""
+    """(sig, node, role) for the rarest shingles of the documents in ``large``: of n shingles all but the
+    ceil(percent * n / 100) - 1 most frequent, counted over these documents. Two linked sets share one of them at least.
 
-    def run(batches):
+    The most frequent shingles are broadcast with their counts, so that what is joined with its count is rare."""
+    nodes = staged(large.select(F.col("node").alias("doc_id")).distinct(), "large-nodes")
+    texts = staged(docs.join(small(nodes, FEW), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).distinct(), "large-texts")
+
+    def each(batches):
+        for b in batches:
+            buf, off = text_column(b.column(0))
+            for lo, hi in pieces(off, 1 << 20):
+                flat, _ = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                for at in range(0, len(flat), 500_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 500_000].view(np.int64))], names=["sig"])
+
+    counts = staged(texts.select("text").mapInArrow(released(each), "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "large-counts")
+    least, often, how_often = _often(counts)
+    sent = docs.sparkSession.sparkContext.broadcast((often, how_often))
+
+    def ranked(batches):
+        """Shingles that aren't often, with the number of those that are (``above``); and of these the ones within the prefix (``sure``)."""
+        often, how_often = sent.value
         for b in batches:
             buf, off = text_column(b.column(1))
             for lo, hi in pieces(off, 1 << 20):
                 flat, sizes = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                for at in range(0, len(flat), 500_000):
-                    rows = np.repeat(np.arange(lo, hi), sizes)[at : at + 500_000]
+                sig, row = flat.view(np.int64), np.repeat(np.arange(hi - lo), sizes)
+                place = np.minimum(np.searchsorted(often, sig), max(len(often) - 1, 0))
+                is_often = often[place] == sig if len(often) else np.zeros(len(sig), bool)
+                above = np.bincount(row[is_often], minlength=hi - lo)
+                need = -(-sizes * percent // 100)
+                o = np.flatnonzero(is_often)
+                o = o[np.lexsort((sig[o], -how_often[place[o]], row[o]))]
+                rank = np.arange(len(o)) - (np.cumsum(above) - above)[row[o]] + 1
+                sure = o[rank >= need[row[o]]]
+                at = np.concatenate((np.flatnonzero(~is_often), sure))
+                for k in range(0, len(at), 500_000):
+                    i = at[k : k + 500_000]
+                    rows = pa.array(lo + row[i])
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(flat[at : at + 500_000].view(np.int64)), pa.array(sizes[rows - lo])], names=["node", "h", "sig", "n"]
+                        [b.column(0).take(rows), b.column(2).take(rows), pa.array(sig[i]), pa.array((need - above)[row[i]]), pa.array(is_often[i])], names=["node", "h", "sig", "need", "sure"]
                     )
 
-    nodes = staged(large.select(F.col("node").alias("doc_id")).distinct(), "large-nodes")
-    texts = docs.join(small(nodes, FEW), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).distinct()
-    tokens = staged(texts.mapInArrow(released(run), "node long, h long, sig long, n long"), "large-shingles")
-    counts = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # shingles of one document alone are its rarest; their number says how many of the others belong to the prefix
-    common = tokens.join(counts, "sig")
-    ranked = common.select("*", F.row_number().over(W.partitionBy("node", "h").orderBy(F.desc("df"), "sig")).alias("from_end"))
-    prefix = ranked.where(F.col("from_end") >= F.ceil(F.col("n") * percent / 100)).select("sig", "node").distinct()
-    return prefix.withColumn("role", F.lit(INDEX | PROBE))
+    found = staged(texts.select("doc_id", "text", "h").mapInArrow(released(ranked), "node long, h long, sig long, need long, sure boolean"), "large-shingles")
+    # what stands in one document alone is its rarest; its number says how many of the others belong to the prefix
+    rare = found.where("NOT sure").join(counts.where(F.col("df") < F.lit(least)), "sig")
+    rest = rare.select("*", F.row_number().over(W.partitionBy("node", "h").orderBy(F.desc("df"), "sig")).alias("rank")).where("rank >= need")
+    return rest.select("sig", "node").unionByName(found.where("sure").select("sig", "node")).distinct().withColumn("role", F.lit(INDEX | PROBE))
 
 
 def _blocks(large: DataFrame, block: int) -> DataFrame:

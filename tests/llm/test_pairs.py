@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkstream.llm import line_dedup, ngram_join
 from inkstream.llm.components import components
+from inkstream.llm.shared import text_column
 
 from .helpers import clashing, documents, prose
 
@@ -119,6 +121,28 @@ def test_large_open_signatures_lose_no_link(spark, upto, block):
     assert len(set(want.values())) > 20
 
 
+@pytest.mark.parametrize("often", [0, 40, 50_000])
+def test_prefixes_are_the_rarest_shingles(spark, monkeypatch, often):
+    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    rng = random.Random(12)
+    passages = [prose(60 + k, 30, 5000).split() for k in range(4)]
+    rows = [(k, " ".join(prose(800 + k, rng.choice([3, 9, 20]), 90_000).split() + [w for p in rng.sample(passages, rng.randint(0, 3)) for w in p]), "en", "s", 1) for k in range(60)]
+    rows.append((99, rows[0][1], "en", "s", 1))
+    df = documents(spark, rows)
+    got = {(r.node, r.sig) for r in ngram_join._prefixes(df.selectExpr("doc_id AS node"), df.select("doc_id", "text"), 80).collect()}
+    sets, count = {}, {}
+    for i, t, *_ in rows:
+        buf, off = text_column(pa.array([t]))
+        sets[i] = ngram_join.shingles(buf, off)[0].view(np.int64).tolist()
+        for x in sets[i]:
+            count[x] = count.get(x, 0) + 1
+    want = set()
+    for i, x in sets.items():
+        by = sorted(x, key=lambda v: (-count[v], v))
+        want |= {(i, v) for v in by[-(-len(by) * 80 // 100) - 1 :] if count[v] > 1}
+    assert got == want and want
+
+
 def test_bounds_of_the_bands():
     for n in (4, 5, 9, 10, 99, 1000, 12345):
         band = int(np.searchsorted(ngram_join.EDGES, n, "right")) - 1
