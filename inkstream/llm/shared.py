@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BATCH_ROWS = 2000
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -41,13 +43,27 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+@contextmanager
+def _slim_batches(spark: SparkSession):
+    """Arrow batches of at most ``BATCH_ROWS`` rows meanwhile, as rows with whole texts are wide: what the JVM and a worker hold
+    of a batch stays at a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so
     a lost executor costs a re-read and never a recomputation. The tables go when
     the driver's process ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/inkstream/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _slim_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_at = path
