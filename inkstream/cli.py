@@ -1,4 +1,4 @@
-"""Command line: combine, convert, clean."""
+"""Command line: watch, combine, convert, clean."""
 
 from __future__ import annotations
 
@@ -30,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     k = sub.add_parser("clean", help="clean the newest batch file into a keyed table")
     k.add_argument("input")
     k.add_argument("output")
+    w = sub.add_parser("watch", help="new rows of a listing, with their pages, into the master table")
+    w.add_argument("listing")
+    w.add_argument("master")
+    w.add_argument("--batch", help="new rows as JSON lines")
+    w.add_argument("--daily", type=int, metavar="HOUR", help="once a day from this hour on, without end")
     return p
 
 
@@ -48,6 +53,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "convert":
         print(jobs.convert(spark, args.input, args.output, args.source, str(today.year), not args.no_transform).first().asDict())
         return 0
+    if args.command == "watch":
+        run = lambda: jobs.watch(spark, args.listing, args.master, datetime.datetime.now().isoformat(" ", "seconds"), batch_path=args.batch)
+        if args.daily is not None:
+            jobs.daily(run, args.daily)
+            return 0
+        report = run()
+        print(report)
+        return int(report.mode == "empty")
     path = json_files.newest(spark, args.input)
     if path is None:
         print("no input")

@@ -253,7 +253,9 @@ def test_sources_of_combined_objects(spark, tmp_path, monkeypatch):
     assert json.loads(spark.read.text(str(tmp_path / "o")).first()[0])["_source_relative"].endswith("/here/in/a.json")
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(acquire, "http", lambda config: lambda url: (200, "<p>no table"))
+    assert cli.main(["watch", "https://x.org/list", str(tmp_path / "m")]) == 1 and "empty" in capsys.readouterr().out
     put(tmp_path / "in" / "a.json", [{"RAG_ID": "k", "text": "A:\n\n\nB", "Title": "t"}])
     put(tmp_path / "bad" / "a.json", "{broken")
     assert cli.main(["combine", "-d", str(tmp_path / "in"), "-o", str(tmp_path / "o1")]) == 0
