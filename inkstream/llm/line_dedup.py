@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from .shared import pieces, released, small, staged, text_column
 from .textscan import U, hash_ranges, mix, words
 
-RUN_WORDS, GRAM_WORDS, FEW = 50, 25, 1_000_000
+RUN_WORDS, GRAM_WORDS, FEW = 50, 25, 100_000
 _BASE = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 
 
@@ -144,7 +144,7 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
     at = prints.join(small(staged(often, "line-often"), FEW), "key").select("doc", "text_hash", F.inline("places"))
     at = staged(at, "line-places")
     first = at.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_hash", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = at.join(small(staged(first, "line-firsts"), FEW // 20), ["h1", "h2"]).where(F.struct("doc", "text_hash", "s") > F.col("first")).select("doc", "text_hash", "s", "e").distinct()
+    later = at.join(small(staged(first, "line-firsts"), FEW), ["h1", "h2"]).where(F.struct("doc", "text_hash", "s") > F.col("first")).select("doc", "text_hash", "s", "e").distinct()
     order = W.partitionBy("doc", "text_hash").orderBy("s", "e")
     apart = F.col("s") > F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1
     runs = later.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
