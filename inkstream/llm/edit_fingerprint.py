@@ -12,8 +12,10 @@ the next, over which texts of neighbouring octaves are compared.
 are joined, the candidates are verified on their whole fingerprints, and links
 are united. Keys are made of slots that neighbouring octaves share, so that
 texts on two sides of an octave's border meet. The documents of a key of few are
-compared in pairs; more become a star, and meet again by two bands together. The
-banding is randomised: ``recall`` in the tests holds it against all pairs.
+compared in pairs; more become a star, and where its documents stay apart, those
+of different components are all compared, in blocks. So no pair that shares a key
+is lost, whatever the key's size. Which pairs share one is randomised: ``recall``
+in the tests holds it against all pairs.
 
 Documents are paired with the next one in descending doc_id by buckets of ids:
 each bucket also gets the first row of the bucket after it, so neighbours are
@@ -47,7 +49,8 @@ _BITS[:, 255] = 0  # the mark after a text: the walk stays there
 _SYMBOL = (stream(256, 32) >> U(60)).astype(np.uint8)
 _SYMBOL[255] = PAD
 _HEX = np.frombuffer(b"0123456789abcdef.", np.uint8)
-BANDS, BAND_SLOTS, NEXT, FEW = 10, 7, 2, 1_000_000
+BANDS, BAND_SLOTS, FEW = 10, 7, 1_000_000
+BLOCK, TILE = 512, 512  # rows of a large key that stay together, and of these what is compared at a time
 
 
 @lru_cache(None)
@@ -251,15 +254,15 @@ def _levels(octave: int, live: int, live_even: int) -> list[tuple[int, np.ndarra
     return below + ([(v, even if v == FIRST else np.arange(1 << v))] if live >= 0.6 * (1 << v) or v == 3 else [])
 
 
-def band_keys(octave: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, band, key) of all bands of all fingerprints; those of empty texts have none."""
+def band_keys(octave: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all bands of all fingerprints; those of empty texts have none."""
     live, even = (symbols != PAD).sum(1), (symbols[:, ::2] != PAD).sum(1)
     kinds: dict[tuple, list[int]] = {}
     for r, (o, n, e) in enumerate(zip(octave.tolist(), live.tolist(), even.tolist())):
         if n:
             for level, slots in _levels(o, n, e):
                 kinds.setdefault((level, slots[-1], len(slots)), []).append(r)
-    rows, bands, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, U)]
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     for (level, last, size), r in kinds.items():
         at = np.array(r)
         own = symbols[at][:, np.arange(size) * 2 if last >= size else np.arange(size)]
@@ -269,22 +272,21 @@ def band_keys(octave: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.n
                 for s in pick:
                     h = mix(h * U(17) + own[:, s].astype(U))
             rows.append(at)
-            bands.append(np.full(len(at), level * BANDS + k, np.int32))
             keys.append(h)
-    return np.concatenate(rows), np.concatenate(bands), np.concatenate(keys)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _bands(own: DataFrame) -> DataFrame:
-    """(doc_id, band, key) of rows of doc_id and fingerprint."""
+    """(doc_id, key) of rows of doc_id and fingerprint."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                row, band, key = band_keys(*read(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(band), pa.array(key.view(np.int64))], names=["doc_id", "band", "key"])
+                row, key = band_keys(*read(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(key.view(np.int64))], names=["doc_id", "key"])
 
-    return own.mapInArrow(released(run), "doc_id long, band int, key long")
+    return own.mapInArrow(released(run), "doc_id long, key long")
 
 
 def _groups(bands: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
@@ -310,25 +312,70 @@ def _verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     return staged(both.select("lead", "doc_id", "fingerprint", "other").mapInArrow(released(run), "u long, v long"), "print-links")
 
 
+def across(octave: np.ndarray, symbols: np.ndarray, label: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows with a likeness of ``threshold`` or more: enough to join all rows that such pairs join. Rows of one label
+    are joined already. If there are two sides, rows are compared with those of the other one only."""
+    label, found = np.unique(label, return_inverse=True)[1], []
+    order = np.lexsort((label, octave, side))
+    turns = np.flatnonzero(np.diff(side[order] * 64 + octave[order])) + 1
+    tiles = [run[k : k + TILE] for run in np.split(order, turns) for k in range(0, len(run), TILE)]
+    for n, x in enumerate(tiles):
+        for y in tiles[n:]:
+            if side.any() and not side.all() and side[x[0]] == side[y[0]]:
+                continue
+            apart = label[x][:, None] != label[y]
+            i, j = shared_slots(int(octave[x[0]]), int(octave[y[0]]))
+            if not len(i) or not apart.any():
+                continue
+            a, b = np.ascontiguousarray(symbols[x][:, i].T), np.ascontiguousarray(symbols[y][:, j].T)
+            agree = np.zeros(apart.shape, np.uint8)
+            for p, q in zip(a, np.where(b == PAD, PAD + 1, b).astype(np.uint8)):
+                agree += p[:, None] == q
+            live = np.maximum((a != PAD).sum(0)[:, None], (b != PAD).sum(0))  # a walk that has ended stays so: either reaches what the longer one does
+            u, v = np.nonzero(apart & (np.maximum(0, (agree / np.maximum(live, 1) - CHANCE) / (1 - CHANCE)) >= threshold))
+            u, v = x[u], y[v]
+            while len(u):
+                for k in np.unique(u, return_index=True)[1].tolist():
+                    if label[u[k]] != label[v[k]]:
+                        label[label == label[v[k]]] = label[u[k]]
+                        found.append((int(u[k]), int(v[k])))
+                still = label[u] != label[v]
+                u, v = u[still], v[still]
+    return found
+
+
+def _in_blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between the documents of a key that are in different components. ``rows`` has key, n (its number of
+    documents), doc_id, component, fingerprint. They are dealt into blocks of about ``BLOCK`` rows, and every two blocks are a
+    group of their own, so that no task holds more than two blocks of a key."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = every.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "component", "fingerprint")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc_id, component, own, low = (table.column(c).to_numpy() for c in ("doc_id", "component", "own", "low"))
+        found = np.array(across(*read(table.column("fingerprint").to_pylist()), component, (own != low).astype(np.int64), threshold), np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(doc_id[found[:, 0]]), "v": pa.array(doc_id[found[:, 1]])})
+
+    return staged(met.groupBy("key", "low", "high").applyInArrow(compare, "u long, v long"), "block-links")
+
+
 def links(own: DataFrame, threshold: float = 0.8, few: int = 24) -> DataFrame:
-    """(u, v): pairs of the fingerprints of ``own`` (doc_id, fingerprint; a doc_id may have several) that a band leads to
-    and whose likeness is at least ``threshold``. All pairs of a key of ``few`` documents at most are verified; a larger key
-    is a star around its least document, and if its documents stay apart they are looked up by two bands together: the
-    key's own and each of the ``NEXT`` that follow it."""
+    """(u, v): pairs of the fingerprints of ``own`` (doc_id, fingerprint; a doc_id may have several) that share a key and whose
+    likeness is at least ``threshold``: as many as join all documents that such pairs join. All pairs of a key of ``few``
+    documents at most are verified; a larger key is a star around its least document, and if its documents stay apart, all of
+    different components are compared."""
     bands = staged(_bands(own), "band-keys")
     rows, pairs = _groups(bands, few)
     good = _verified(pairs, own, threshold)
-    large = rows.where(F.col("n") > few).select("key", "band", "doc_id")
+    large = rows.where(F.col("n") > few).select("key", "n", "doc_id")
     now = large.join(components(good).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     now = staged(now, "large-bands")
     apart = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    still = now.join(small(staged(apart, "apart-bands"), FEW), "key", "left_semi").select("doc_id", F.col("key").alias("outer"), F.col("band").alias("outer_band"))
+    still = now.join(small(staged(apart, "apart-bands"), FEW), "key", "left_semi")
     if still.isEmpty():
         return good
-    still = staged(still, "open-bands")
-    inner = still.select("doc_id", F.col("outer").alias("key"), F.col("outer_band").alias("band"))  # two documents that share a band that is not open are compared or in one component already
-    both = still.join(inner, "doc_id").where(f"band > outer_band AND band <= outer_band + {NEXT}").select("doc_id", "band", F.xxhash64("outer", "key").alias("key"))
-    return good.unionByName(_verified(_groups(both, few)[1], own, threshold))
+    return good.unionByName(_in_blocks(still.join(own, "doc_id"), threshold))
 
 
 def near(prints: DataFrame, threshold: float = 0.8) -> DataFrame:

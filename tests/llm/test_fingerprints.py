@@ -153,6 +153,40 @@ def test_large_bands_still_find_their_pairs(spark):
     assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.9 * len(pairs) > 90
 
 
+def test_no_pair_of_a_key_is_lost(spark, monkeypatch):
+    """Whatever a key's size: the links join all that is joined by pairs that share a key and are like each other."""
+    monkeypatch.setattr(E, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(E, "TILE", 5, raising=False)
+    rng = random.Random(12)
+    texts = []
+    head = prose(55, 120, 500)
+    for k in range(90):  # all begin alike, so that keys and pairs of keys are large, and pairs differ in much of the rest
+        t = (head + prose(7000 + k, 60, 5000))[: rng.choice([700, 720, 740])]
+        i = rng.randrange(len(head) + 20, len(t) - 20)
+        texts += [t, t[:i] + "Q" * 30 + t[i + 1 :]]
+    texts += [prose(6000 + k, 4, 30) for k in range(60)]
+    pairs, prints = pairs_with_likeness(texts, 0.8)
+    row, *_, key = E.band_keys(*E.read(prints))
+    keys = [set(key[row == i].tolist()) for i in range(len(prints))]
+    wanted = [(a, b) for a, b in pairs if keys[a] & keys[b]]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    got = {tuple(sorted((r.u, r.v))) for r in E.links(df, few=2).collect()}
+
+    def groups(links):
+        parent = list(range(len(texts)))
+
+        def top(a):
+            while parent[a] != a:
+                a = parent[a]
+            return a
+
+        for a, b in links:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(a) for a in range(len(texts))]
+
+    assert got <= set(pairs) and groups(got) == groups(wanted) and len(wanted) > 80
+
+
 def test_rows_without_ids_are_dealt_to_buckets(spark):
     rows = [(None, prose(k, 20), "en", "s", 1) for k in range(40)] + [(k, prose(100 + k, 20), "en", "s", 1) for k in range(20)]
     df = documents(spark, rows)
