@@ -17,13 +17,13 @@ of it. The 1024 most frequent ids are members of their own, in 32 clusters by th
 ids that stand beside them; the others share the members of two more clusters, by
 whether they begin a word and by frequency, in the shares of their counts.
 
-Training. Windows are drawn by a hash of text and place over the whole of all
-training documents, at a rate of ``RATE`` (of a small corpus at a higher one, so
-that there are about ``SHARD``, or all), so their number grows with the corpus. They are
-dealt to shards of about ``SHARD`` windows; in each of ``ROUNDS`` rounds every
-shard goes on from the common parameters by Adam over its windows of that round,
-on the executors, and the results are averaged there. Counts of words and ids
-and the neighbours of ids cover all training documents or windows.
+Training. All windows of all training documents (but those that tune the weight, see
+below) are looked at, alike whatever the corpus: by a hash of text and place they are dealt to rounds, of which there are
+``ROUNDS``, and to shards, one for every ``SHARD`` windows begun. In each round every
+shard goes on from the common parameters by Adam over its windows of that round, in
+batches of ``BATCH`` and ``MOST_PASSES`` times, on the executors, and the results are
+averaged there. Counts of words and ids and the neighbours of ids cover all training
+documents or windows.
 
 A word's probability is the product of its ids', mixed, with one weight for all,
 with the word's share of the corpus. The weight is tuned on training documents
@@ -48,16 +48,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import tokens
-from .shared import pieces, released, staged, text_column
+from .shared import discard, pieces, released, staged, text_column
 from .textscan import LOWER, U, mix, words
 
 END_ID, VOCAB, END_HASH = 50256, 50257, -1
 HOT = 200_000
-RATE, SHARD, ROUNDS, MOST_PASSES, TUNED, IDS_PER_BYTE = 0.125, 1 << 18, 4, 6, 32, 0.4
+SHARD, ROUNDS, MOST_PASSES, BATCH, TUNED, IDS_PER_BYTE = 1 << 20, 4, 1, 128, 32, 0.4
 BLOCK, KEY, VALUE, EMBED, CROSS = 16, 12, 16, 24, 16
 CLUSTERS, MEMBERS, BESIDE, SUM_BLOCKS = 32, 32, 128, 64
 SINGLE = CLUSTERS * MEMBERS
-_PIECE = 2 << 20
+_PIECE, _TOGETHER = 2 << 20, 64
 
 
 def fold(doc_id: Column) -> Column:
@@ -86,7 +86,7 @@ def _gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Draw:
-    """Which windows training looks at: at what rate, and to how many shards they are dealt."""
+    """Which windows training looks at: at what rate (``plan`` takes all), and to how many shards and rounds they are dealt."""
 
     rate: float
     shards: int
@@ -95,15 +95,12 @@ class Draw:
 
 def plan(training: DataFrame) -> Draw:
     size = training.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    windows = size * IDS_PER_BYTE / BLOCK
-    rate = min(1.0, max(RATE, SHARD / max(windows, 1)))
-    shards = max(1, round(windows * rate / SHARD))
-    return Draw(rate, shards, ROUNDS if shards > 1 else 1)
+    return Draw(1.0, max(1, int(np.ceil(size * IDS_PER_BYTE / BLOCK / SHARD))), ROUNDS)
 
 
 def gathered(docs: DataFrame, draw: Draw) -> DataFrame:
     """(kind, key, n, data) over the training documents: kind 0 are words by hash, kind 1 subword ids, with counts n that
-    aren't summed yet; kind 2 are n windows, of 33 ids each, with the number of their shard and round. ``docs`` has text, text_hash, tuned."""
+    aren't summed yet; kind 2 are n windows (``_TOGETHER`` at most), of 33 ids each, with the number of their shard and round. ``docs`` has text, text_hash, tuned."""
 
     def run(batches):
         held, ids, n_docs = [], np.zeros(VOCAB, np.int64), 0
@@ -134,7 +131,10 @@ def gathered(docs: DataFrame, draw: Draw) -> DataFrame:
                 order = np.argsort(where, kind="stable")
                 key, at, n = np.unique(where[order], return_index=True, return_counts=True)
                 w = w[order]
-                yield from rows(2, key, n.astype(np.int64), [w[i : i + k].tobytes() for i, k in zip(at.tolist(), n.tolist())])
+                cuts = -(-n // _TOGETHER)  # rows stay small, as tasks hold many of them
+                begin = np.repeat(at, cuts) + _TOGETHER * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+                n = np.minimum(np.repeat(at + n, cuts) - begin, _TOGETHER)
+                yield from rows(2, np.repeat(key, cuts), n.astype(np.int64), [w[i : i + k].tobytes() for i, k in zip(begin.tolist(), n.tolist())])
                 if sum(len(x) for x, _ in held) > 3_000_000:
                     held[:] = [merged()]
                     if len(held[0][0]) > 1_500_000:
@@ -257,13 +257,13 @@ def neighbours(windows: DataFrame, n: np.ndarray) -> np.ndarray:
     def run(batches):
         total = np.zeros((SINGLE + 1) * 2 * BESIDE)
         for b in batches:
-            if not b.num_rows:
-                continue
-            w = row[np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)]).reshape(-1, 33)[:, 16:]]
-            left, right = w[:, :-1].ravel(), w[:, 1:].ravel()
-            for centre, other, side in ((right, left, 0), (left, right, BESIDE)):
-                at = other < BESIDE
-                total += np.bincount(centre[at] * (2 * BESIDE) + other[at] + side, minlength=len(total))
+            buf, off = text_column(b.column(0))
+            for lo, hi in pieces(off, _PIECE):
+                w = row[buf[off[lo] : off[hi]].view(np.uint16).reshape(-1, 33)[:, 16:]]
+                left, right = w[:, :-1].ravel(), w[:, 1:].ravel()
+                for centre, other, side in ((right, left, 0), (left, right, BESIDE)):
+                    at = other < BESIDE
+                    total += np.bincount(centre[at] * (2 * BESIDE) + other[at] + side, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
 
     return _added(windows.select("data").mapInArrow(released(run), "data binary"), (SINGLE + 1) * 2 * BESIDE).reshape(SINGLE + 1, -1)[:SINGLE]
@@ -399,14 +399,13 @@ def _steps(p: dict[str, np.ndarray], both: np.ndarray, cluster: np.ndarray, memb
     return loss / n
 
 
-def descend(model: Attention, windows: np.ndarray, passes: int, span: tuple[float, float], seed: int, batch: int = 256, rate: float = 0.02) -> np.ndarray:
+def descend(model: Attention, windows: np.ndarray, passes: int, span: tuple[float, float], seed: int, batch: int = BATCH, rate: float = 0.02) -> np.ndarray:
     """The parameters after ``passes`` passes of Adam over the windows (of 33 ids). ``span`` is what part of the whole training
     this is: the step falls from its beginning to its end."""
     rng = np.random.default_rng(seed)
     flat = model.flat.copy()
-    gradient, m1, m2 = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    gradient, m1, m2, spare = (np.zeros_like(flat) for _ in range(4))
     p, g = views(flat), views(gradient)
-    batch = min(batch, max(32, len(windows) // 64))
     steps = max(1, -(-len(windows) // batch)) * passes
     t = 0
     for _ in range(passes):
@@ -420,9 +419,16 @@ def descend(model: Attention, windows: np.ndarray, passes: int, span: tuple[floa
             t += 1
             done = span[0] + (span[1] - span[0]) * t / steps
             step = rate * min(1, t / 50) * (1 - 0.95 * done)
-            m1 += 0.1 * (gradient - m1)
-            m2 += 0.01 * (gradient * gradient - m2)
-            flat -= step / (1 - 0.9**t) * m1 / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+            m1 *= 0.9
+            m1 += np.multiply(gradient, 0.1, out=spare)
+            m2 *= 0.99
+            gradient *= gradient
+            m2 += np.multiply(gradient, 0.01, out=spare)
+            np.sqrt(np.multiply(m2, 1 / (1 - 0.99**t), out=spare), out=spare)
+            spare += 1e-8
+            np.divide(m1, spare, out=spare)
+            spare *= step / (1 - 0.9**t)
+            flat -= spare
     return flat
 
 
@@ -432,8 +438,7 @@ def train(windows: DataFrame, n: np.ndarray, draw: Draw, passes: int | None = No
     model = untrained(n, neighbours(windows, n))
     if not total:
         return model
-    if passes is None:  # a small corpus is gone over more than once
-        passes = int(min(MOST_PASSES, max(1, -(-SHARD // total))))
+    passes = MOST_PASSES if passes is None else passes
     for r in range(draw.rounds):
         sent = windows.sparkSession.sparkContext.broadcast(model)
         span = (r / draw.rounds, (r + 1) / draw.rounds)
@@ -598,6 +603,7 @@ def fit(docs: DataFrame, held_out: int = 1) -> tuple[Scorer, DataFrame]:
     id_counts[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
     end = int(id_counts[END_ID])
     model = train(found.where("kind = 2").select("key", "n", "data"), id_counts, draw)
+    discard(found)
     scorer = Scorer(key[order], n[order], end, int(total), int(kinds), model)
     counted = table.where("kind = 0").select("key", "n")
     model.mix = best_mix(training.where("tuned"), scorer, counted)

@@ -322,6 +322,28 @@ def test_training_over_shards(spark):
     assert lm_scoring.id_log_probabilities(m, ids, sizes).mean() > lm_scoring.id_log_probabilities(start, ids, sizes).mean() + 0.1
 
 
+def test_training_is_alike_at_all_sizes(spark, monkeypatch):
+    """All windows, in as many rounds and in batches as large, whether they fill a part of a shard or many."""
+    k = lm_scoring
+    docs = documents(spark, [(i, prose(i, 90, 900), "en", "s", 1) for i in range(60)]).selectExpr("text", "xxhash64(text) AS text_hash", "doc_id % 9 = 0 AS tuned").cache()
+    rows = [r for r in docs.collect() if not r.tuned]
+    off = np.cumsum([0] + [len(r.text) for r in rows])
+    _, _, _, _, sizes, _, _ = k._sequence(np.frombuffer("".join(r.text for r in rows).encode(), np.uint8), off)
+    every = int((-(-sizes // k.BLOCK)).sum())
+    for shard in (1 << 18, every // 4, 7):
+        monkeypatch.setattr(k, "SHARD", shard)
+        draw = k.plan(docs)
+        found = k.gathered(docs, draw).where("kind = 2").groupBy().agg({"n": "sum", "key": "max"}).first()
+        assert (draw.rounds, found["sum(n)"]) == (k.ROUNDS, every) and (draw.shards > 1) == (shard < every)
+    steps = []
+    monkeypatch.setattr(k, "_steps", lambda p, both, *rest: steps.append(len(both)))
+    m = k.untrained(*beside(np.zeros(5, np.int64)))
+    for n in (300, 3000, 30000):
+        k.descend(m, np.zeros((n, 33), np.uint16), 1, (0, 1), 1)
+        assert steps[0] == k.BATCH and len(steps) == -(-n // k.BATCH)
+        steps.clear()
+
+
 def test_scores_beat_the_base_on_held_out_documents(spark, sf):
     """The smallest table has too few texts to learn from; the next one is enough."""
     found = lm_scoring.op7(spark, sf.replace("sf0.001", "sf0.01")).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).collect()
