@@ -64,9 +64,28 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)).cast("int")
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in ascending order, a place of each, and each hash's place among them.
+
+    Upper bits with the places below them are sorted as one number, which is much faster than sorting places by hash;
+    should two hashes have the same upper bits, ``np.unique`` does it."""
+    low = U(max(len(h) - 1, 1).bit_length())
+    mixed = np.sort(h >> low << low | np.arange(len(h), dtype=U))
+    order = (mixed & ((U(1) << low) - U(1))).astype(np.int64)
+    ordered = h[order]
+    fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(h)]
+    first = np.flatnonzero(fresh)
+    distinct = ordered[first]
+    if (distinct[1:] >> low == distinct[:-1] >> low).any():
+        return np.unique(h, return_index=True, return_inverse=True)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return distinct, order[first], back
+
+
 def _unique_words(buf: np.ndarray, w):
     """Hashes of the distinct words, each word's place among them, and their ids' places in the encoder's pool."""
-    distinct, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+    distinct, first, back = _distinct(w.hash)
     enc = tokens.encoder()
     if not len(distinct):
         return distinct, back, enc, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -317,6 +336,7 @@ def untrained(n: np.ndarray, beside: np.ndarray, seed: int = 7) -> Attention:
 
 _GAP = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far each key is before each query
 _LATER = np.where(_GAP < 0, -1e9, 0).astype(np.float32)
+_BACK, _BEFORE = np.maximum(_GAP, 0), _GAP >= 0
 
 
 def _inputs(p: dict[str, np.ndarray], both: np.ndarray):
@@ -324,78 +344,91 @@ def _inputs(p: dict[str, np.ndarray], both: np.ndarray):
     qe, kv = np.take(p["qe"], both[:, BLOCK:], axis=0), np.take(p["kv"], both, axis=0)
     q, e, k, v = qe[..., :KEY], qe[..., KEY:], kv[..., :KEY], kv[..., KEY:]
     score = q @ k.transpose(0, 2, 1)
-    score += p["r"][np.maximum(_GAP, 0)] + _LATER
-    score += np.where(both == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    score += p["r"][_BACK] + _LATER
+    padded = both == PAD
+    rows = np.flatnonzero(padded.any(1))  # few windows: the first and the last of a document
+    score[rows] += np.where(padded[rows], np.float32(-1e9), np.float32(0))[:, None, :]
     np.minimum(score, 30, out=score)
     np.exp(score, out=score)
-    score /= score.sum(2, keepdims=True) + np.float32(1e-9)
+    total = score @ np.ones(2 * BLOCK, score.dtype)
+    total += np.float32(1e-9)
+    score *= np.reciprocal(total, out=total)[..., None]
+    x = np.empty((*qe.shape[:2], WIDE + 1), qe.dtype)
     a = score @ v
-    x = np.empty((*a.shape[:2], WIDE + 1), p["qe"].dtype)
     x[..., :VALUE], x[..., VALUE : VALUE + EMBED], x[..., -1] = a, e, 1
     np.multiply(a[..., :CROSS], e[..., :CROSS], out=x[..., VALUE + EMBED : -1])
-    return x, (q, k, v, score)
+    return x, (q, k, v, score, a, e)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; the rows become probabilities. Logits are cut at 85, within a float's range."""
+def _softmax(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+    """The sum of -log softmax at one place of each row; the rows become its gradient over ``n``. Logits are cut at 85, within a float's range."""
+    own = np.arange(len(at)) * logits.shape[1] + at
+    flat = logits.reshape(-1)
+    picked = np.take(flat, own)
     np.clip(logits, -85, 85, out=logits)
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    logits /= total[:, None]
-    return np.log(total)
+    loss = (np.log(total) - picked).sum()
+    total *= n
+    logits *= np.reciprocal(total, out=total)[:, None]
+    flat[own] -= 1 / n
+    return loss
 
 
 def _steps(p: dict[str, np.ndarray], both: np.ndarray, cluster: np.ndarray, member: np.ndarray, live: np.ndarray, g: dict[str, np.ndarray]) -> float:
     """Mean loss over the live places; the gradients of all parameters are written to ``g``."""
-    every, (q, k, v, att) = _inputs(p, both)
-    at = np.flatnonzero(live.ravel())
-    at = at[np.argsort(cluster.ravel()[at].astype(np.uint8), kind="stable")]  # few bits sort faster
-    x, c, m = every.reshape(-1, WIDE + 1)[at], cluster.ravel()[at], member.ravel()[at]
+    every, (q, k, v, att, a, e) = _inputs(p, both)
+    at = np.flatnonzero(live)
+    c = np.take(cluster, at)
+    order = np.argsort(c.astype(np.uint8), kind="stable")  # few bits sort faster
+    at, c = at[order], c[order]
+    x, m = np.take(every.reshape(-1, WIDE + 1), at, axis=0), np.take(member, at)
     n = max(len(at), 1)
-    i = np.arange(len(at))
-    d1 = x @ p["w1"]
-    picked = d1[i, c]
-    loss = (_softmax(d1) - picked).sum()
-    d1[i, c] -= 1
-    d1 /= n
-    g["w1"][:] = x.T @ d1
-    dx = d1 @ p["w1"].T
+    d2, dx = np.empty((len(at), MEMBERS), x.dtype), np.empty_like(x)
+    edges = np.searchsorted(c, np.arange(ALL + 1)).tolist()
+    spans = [(j, lo, hi) for j, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+    for j, lo, hi in spans:
+        np.dot(x[lo:hi], p["w2"][j], out=d2[lo:hi])
+    loss = _softmax(d2, m, n)  # of all clusters at once
     g["w2"][:] = 0
-    edges = np.searchsorted(c, np.arange(ALL + 1))
-    for j in range(ALL):
-        lo, hi = edges[j], edges[j + 1]
-        if hi > lo:
-            d2 = x[lo:hi] @ p["w2"][j]
-            picked = d2[i[: hi - lo], m[lo:hi]]
-            loss += (_softmax(d2) - picked).sum()
-            d2[i[: hi - lo], m[lo:hi]] -= 1
-            d2 /= n
-            g["w2"][j] = x[lo:hi].T @ d2
-            dx[lo:hi] += d2 @ p["w2"][j].T
-    d = np.zeros((live.size, WIDE + 1), x.dtype)
-    d[at] = dx
-    d = d.reshape(every.shape)
-    cross, a, e = d[..., VALUE + EMBED : -1], every[..., :VALUE], every[..., VALUE : VALUE + EMBED]
-    da, de = d[..., :VALUE].copy(), d[..., VALUE : VALUE + EMBED].copy()
-    da[..., :CROSS] += cross * e[..., :CROSS]
-    de[..., :CROSS] += cross * a[..., :CROSS]
-    datt = da @ v.transpose(0, 2, 1)
-    dv = att.transpose(0, 2, 1) @ da
-    ds = att * (datt - (att * datt).sum(2, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-
-    def spread(name, rows, left, right):
-        rows = rows.ravel().astype(np.uint16)
+    for j, lo, hi in spans:
+        np.dot(x[lo:hi].T, d2[lo:hi], out=g["w2"][j])
+        np.dot(d2[lo:hi], p["w2"][j].T, out=dx[lo:hi])
+    d1 = x @ p["w1"]
+    loss += _softmax(d1, c, n)
+    np.dot(x.T, d1, out=g["w1"])
+    dx += d1 @ p["w1"].T
+    d = every  # its rows are in x
+    d.reshape(-1, WIDE + 1)[at] = dx
+    if len(at) < live.size:
+        d[~live] = 0
+    cross, da = d[..., VALUE + EMBED : -1].copy(), d[..., :VALUE].copy()
+    dqe, dkv = np.empty((*live.shape, KEY + EMBED), x.dtype), np.empty((*both.shape, KEY + VALUE), x.dtype)
+    dqe[..., KEY:] = d[..., VALUE : VALUE + EMBED]
+    dqe[..., KEY : KEY + CROSS] += cross * a[..., :CROSS]
+    da[..., :CROSS] += np.multiply(cross, e[..., :CROSS], out=cross)
+    ds = da @ v.transpose(0, 2, 1)
+    ds -= ((da * a) @ np.ones(VALUE, x.dtype))[..., None]  # da.a: the sum of the weights times their gradients
+    ds *= att
+    np.matmul(att.transpose(0, 2, 1), da, out=dkv[..., KEY:])
+    np.matmul(ds, k, out=dqe[..., :KEY])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :KEY])
+
+    pairs = np.result_type(x.dtype, np.complex64)
+
+    def spread(name, rows, value):
+        rows = rows.astype(np.uint16).ravel()
         order = np.argsort(rows, kind="stable")
-        value = np.concatenate((left.reshape(len(rows), -1), right.reshape(len(rows), -1)), 1)[order]
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         g[name][:] = 0
-        g[name][rows[first]] = np.add.reduceat(value, first)
+        value = np.take(value.reshape(len(rows), -1), order, axis=0)
+        g[name][rows[first]] = np.add.reduceat(value.view(pairs), first).view(value.dtype)  # columns are added two at a time
 
-    spread("qe", both[:, BLOCK:], dq, de)
-    spread("kv", both, dk, dv)
-    g["r"][:] = np.bincount(np.maximum(_GAP, 0).ravel(), weights=(ds.sum(0) * (_GAP >= 0)).ravel(), minlength=2 * BLOCK)
+    spread("qe", both[:, BLOCK:], dqe)
+    spread("kv", both, dkv)
+    by_gap = np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)
+    g["r"][:] = np.bincount(_BACK.ravel(), weights=by_gap * _BEFORE.ravel(), minlength=2 * BLOCK)
     return loss / n
 
 
@@ -404,30 +437,31 @@ def descend(model: Attention, windows: np.ndarray, passes: int, span: tuple[floa
     this is: the step falls from its beginning to its end."""
     rng = np.random.default_rng(seed)
     flat = model.flat.copy()
-    gradient, m1, m2, spare = (np.zeros_like(flat) for _ in range(4))
+    gradient, m1, m2, spare = (np.zeros_like(flat) for _ in range(4))  # m1 and m2: sums of gradients, not yet divided by 10 and 100
     p, g = views(flat), views(gradient)
+    context, cluster, member = model.context.astype(np.uint16), model.cluster.astype(np.uint8), model.member.astype(np.uint8)
     steps = max(1, -(-len(windows) // batch)) * passes
     t = 0
     for _ in range(passes):
         order = rng.permutation(len(windows))
         for lo in range(0, len(order), batch):
-            w = windows[order[lo : lo + batch]]
-            both, target = model.context[w[:, :-1]], w[:, BLOCK + 1 :]
+            w = np.take(windows, order[lo : lo + batch], axis=0)
+            both, target = np.take(context, w[:, :-1]), w[:, BLOCK + 1 :]
             live = target != PAD_ID
-            known = np.where(live, target, 0)
-            _steps(p, both, model.cluster[known], model.member[known], live, g)
+            known = target * live
+            _steps(p, both, np.take(cluster, known), np.take(member, known), live, g)
             t += 1
             done = span[0] + (span[1] - span[0]) * t / steps
             step = rate * min(1, t / 50) * (1 - 0.95 * done)
+            size = np.sqrt(0.01 / (1 - 0.99**t))
             m1 *= 0.9
-            m1 += np.multiply(gradient, 0.1, out=spare)
+            m1 += gradient
             m2 *= 0.99
-            gradient *= gradient
-            m2 += np.multiply(gradient, 0.01, out=spare)
-            np.sqrt(np.multiply(m2, 1 / (1 - 0.99**t), out=spare), out=spare)
-            spare += 1e-8
+            m2 += np.multiply(gradient, gradient, out=gradient)
+            np.sqrt(m2, out=spare)
+            spare += 1e-8 / size
             np.divide(m1, spare, out=spare)
-            spare *= step / (1 - 0.9**t)
+            spare *= 0.1 * step / (1 - 0.9**t) / size
             flat -= spare
     return flat
 
@@ -465,46 +499,46 @@ class _Tables:
         self.q, self.e = np.ascontiguousarray(p["qe"][:, :KEY]), np.ascontiguousarray(p["qe"][:, KEY:])
         self.k, self.v = np.ascontiguousarray(p["kv"][:, :KEY]), np.column_stack((p["kv"][:, KEY:], np.ones(SINGLE + 4, np.float32)))
         self.v[PAD] = 0
-        self.bias = (p["r"][np.maximum(_GAP, 0)] + _LATER).astype(np.float32)
+        self.bias = (p["r"][_BACK] + _LATER).astype(np.float32)
         self.calm = np.sqrt((self.q**2).sum(1).max() * (self.k**2).sum(1).max()) + p["r"].max() < 30  # else scores are cut at 30, as in training
         self.w1, self.w2 = p["w1"], p["w2"]
         most = np.abs(p["kv"][:, KEY:]).max(0), np.abs(self.e).max(0)
         most = np.concatenate((*most, most[0][:CROSS] * most[1][:CROSS], [1]))
         self.small = max((most @ np.abs(self.w1)).max(), (most @ np.abs(self.w2)).max()) < 85  # else logits are cut at 85
 
-    def inputs(self, both: np.ndarray) -> np.ndarray:
+    def inputs(self, both: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The inputs of the two steps at some of the scored places."""
         own = both[:, BLOCK:]
         score = np.take(self.q, own, axis=0) @ np.take(self.k, both, axis=0).transpose(0, 2, 1)
         score += self.bias
         if not self.calm:
             np.minimum(score, 30, out=score)
         np.exp(score, out=score)
-        out = score @ np.take(self.v, both, axis=0)
-        x = np.empty((*own.shape, WIDE + 1), np.float32)
-        a, e = x[..., :VALUE], x[..., VALUE : VALUE + EMBED]
-        np.divide(out[..., :VALUE], out[..., VALUE:] + np.float32(1e-9), out=a)
-        e[:] = np.take(self.e, own, axis=0)
-        np.multiply(a[..., :CROSS], e[..., :CROSS], out=x[..., VALUE + EMBED : -1])
-        x[..., -1] = 1
-        return x.reshape(-1, WIDE + 1)
-
-    def log_share(self, x: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log of the softmax of x @ w, at one place of each row."""
-        logits = x @ w
+        out = np.take((score @ np.take(self.v, both, axis=0)).reshape(-1, VALUE + 1), place, axis=0)
+        x = np.empty((len(place), WIDE + 1), np.float32)
+        a, e = x[:, :VALUE], x[:, VALUE : VALUE + EMBED]
+        np.divide(out[:, :VALUE], out[:, VALUE:] + np.float32(1e-9), out=a)
+        e[:] = np.take(self.e, np.take(own, place), axis=0)
+        np.multiply(a[:, :CROSS], e[:, :CROSS], out=x[:, VALUE + EMBED : -1])
+        x[:, -1] = 1
+        return x
+
+    def log_share(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log of the softmax of the logits, at one place of each row."""
         if not self.small:
             np.clip(logits, -85, 85, out=logits)
-        picked = logits.ravel()[np.arange(len(at)) * logits.shape[1] + at]
+        picked = np.take(logits.reshape(-1), np.arange(len(at)) * logits.shape[1] + at)
         np.exp(logits, out=logits)
         return picked - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
-def id_log_probabilities(model: Attention, ids: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
+def id_log_probabilities(model: Attention, ids: np.ndarray, sizes: np.ndarray, batch: int = 256) -> np.ndarray:
     """Natural logarithm of each id's probability, given the ids before it in its document."""
     tables = _Tables(model)
     given, target, at = _blocks(ids, sizes)
     live = target != PAD_ID
     rows = np.flatnonzero(live.any(1))
-    cluster, member = model.cluster.astype(np.uint8), model.member.astype(np.int64)
+    context, cluster, member = model.context.astype(np.uint16), model.cluster.astype(np.uint8), model.member.astype(np.uint8)
     got = np.zeros(target.shape, np.float32)
     for lo in range(0, len(rows), batch):
         r = rows[lo : lo + batch]
@@ -512,13 +546,15 @@ def id_log_probabilities(model: Attention, ids: np.ndarray, sizes: np.ndarray, b
         known = target[r].ravel()[place]
         order = np.argsort(cluster[known], kind="stable")
         place, known = place[order], known[order]
-        x = np.take(tables.inputs(model.context[np.concatenate((given[r - 1], given[r]), 1)]), place, axis=0)
+        x = tables.inputs(np.take(context, np.concatenate((given[r - 1], given[r]), 1)), place)
         c, m = cluster[known], member[known]
-        value = tables.log_share(x, tables.w1, c.astype(np.int64))
-        edges = np.searchsorted(c, np.arange(ALL + 1))
-        for j in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            s, e = edges[j], edges[j + 1]
-            value[s:e] += tables.log_share(x[s:e], tables.w2[j], m[s:e])
+        value = tables.log_share(x @ tables.w1, c)
+        logits = np.empty((len(c), MEMBERS), np.float32)
+        edges = np.searchsorted(c, np.arange(ALL + 1)).tolist()
+        for j, (s, e) in enumerate(zip(edges, edges[1:])):
+            if e > s:
+                np.dot(x[s:e], tables.w2[j], out=logits[s:e])
+        value += tables.log_share(logits, m)  # of all clusters at once
         out = np.zeros(len(r) * BLOCK, np.float32)
         out[place] = value
         got[r] = out.reshape(-1, BLOCK)

@@ -258,6 +258,43 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * e) - g[name].reshape(-1)[at]) < 2e-3 * max(1, abs(g[name].reshape(-1)[at])), name
 
 
+def test_steps_take_all_clusters_at_once(monkeypatch):
+    """Two softmaxes a batch, whatever the number of clusters; loss and gradients are those of one row after the other."""
+    k = lm_scoring
+    m, ids, sizes = model(docs=40, passes=1)
+    windows, _ = k._drawn(ids, sizes, np.arange(len(sizes), dtype=np.uint64), np.ones(len(sizes), bool), k.Draw(1.0, 1, 1))
+    both, target = m.context[windows[:6, :-1]], windows[:6, 17:]
+    live = target != k.PAD_ID
+    known = np.where(live, target, 0)
+    cluster, member = m.cluster[known], m.member[known]
+    p, g = k.views(m.flat.astype(np.float64)), k.views(np.zeros(k.PARAMETERS))
+    calls, softmax, share = [], k._softmax, k._Tables.log_share
+    monkeypatch.setattr(k, "_softmax", lambda *a: calls.append(1) or softmax(*a))
+    loss = k._steps(p, both, cluster, member, live, g)
+    assert len(np.unique(cluster[live])) > 2 and len(calls) == 2
+    x, want1, want2, n, want = k._inputs(p, both)[0], np.zeros_like(p["w1"]), np.zeros_like(p["w2"]), live.sum(), 0.0
+    for i, j in np.argwhere(live):
+        c, at = int(cluster[i, j]), int(member[i, j])
+        for w, place, out in ((p["w1"], c, want1), (p["w2"][c], at, want2[c])):
+            share_of = np.exp(x[i, j] @ w)
+            share_of /= share_of.sum()
+            want -= np.log(share_of[place]) / n
+            share_of[place] -= 1
+            out += np.outer(x[i, j], share_of) / n
+    assert abs(loss - want) < 1e-6 and np.allclose(g["w1"], want1, atol=1e-7) and np.allclose(g["w2"], want2, atol=1e-7)
+    monkeypatch.setattr(k._Tables, "log_share", lambda *a: calls.append(1) or share(*a))
+    k.id_log_probabilities(m, ids[: int(sizes[0])], sizes[:1])
+    assert len(calls) == 4
+
+
+@pytest.mark.parametrize("values", [[], [7], [5, 3, 5, 2**64 - 1, 0, 3], [9, 8, 9, 8, 2**63 + 1, 2**63], list(range(40)) * 3, [i << 40 for i in range(40)] * 3])
+def test_distinct_hashes(values):
+    """Also where hashes differ in their lowest bits alone."""
+    h = np.array(values, np.uint64)
+    for got, want in zip(lm_scoring._distinct(h), np.unique(h, return_index=True, return_inverse=True)):
+        assert np.array_equal(got, want)
+
+
 def test_scores_equal_a_slow_attention():
     """Each id's probability by loops over keys, members and clusters."""
     m, ids, sizes = model(docs=30)
