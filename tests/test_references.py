@@ -18,7 +18,7 @@ def cut(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["ingest_pages", "main_content"])
+@pytest.mark.parametrize("name", ["ingest_pages", "main_content", "page_blocks"])
 def test_matches_sql(spark, cut, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{cut}/pages.parquet/*.parquet'")
