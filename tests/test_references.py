@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from inkstream.operators import html
 from inkstream.plans import queries as plans
 
 ENDS = ("", " &amp;&amp", " &am", " &a", " &", " &quot", " &quo", " &amp;amp", " &amp;lt;", " &ampx;", " &check;", " &amp &amp;", " x&quoty")
@@ -18,7 +19,7 @@ def cut(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["ingest_pages", "main_content", "page_blocks"])
+@pytest.mark.parametrize("name", ["ingest_pages", "main_content", "page_blocks", "html_title"])
 def test_matches_sql(spark, cut, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{cut}/pages.parquet/*.parquet'")
@@ -27,3 +28,8 @@ def test_matches_sql(spark, cut, name):
     rows = [tuple(r) for r in plans.QUERIES[name](spark, cut).select(*names).collect()]
     want = got.fetchall()
     assert len(want) > 0 and sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+def test_references_in_attributes():
+    row = "<table><tr><td><a href='https://x.org/?a=1&region=2&copy=3&amp;d=4&#39;'>T &amp;&nbsp</a><td>&eacute;&eacute<td>&apos;&#233</table>"
+    assert html.rows(row) == [{"pos": 0, "title": "T &&nbsp", "description": "é&eacute", "date": "'é", "url": "https://x.org/?a=1&region=2&copy=3&d=4'"}]
