@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
@@ -606,8 +608,8 @@ def page_blocks(spark, d):
 def listing_rows(spark, d):
     """Each page's title and address as a table of one row, read back from HTML."""
     pages = table(spark, d, "pages").select("page_id", "url", S.strip(F.regexp_replace(html.title_of(F.col("html")), r"\s+", " ")).alias("title"))
-    escaped = F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    row = F.concat(F.lit("<table><tr><th>h</th></tr><tr><td><a href='"), "url", F.lit("'>"), escaped, F.lit("</a><td>page "), F.col("page_id").cast("string"), F.lit("<td>May 1</table>"))
+    escaped = lambda x: reduce(lambda y, c: F.replace(y, F.lit(c[0]), F.lit(c[1])), (("&", "&amp;"), ("<", "&lt;"), ("'", "&#39;")), F.col(x))
+    row = F.concat(F.lit("<table><tr><th>h</th></tr><tr><td><a href='"), escaped("url"), F.lit("'>"), escaped("title"), F.lit("</a><td>page "), F.col("page_id").cast("string"), F.lit("<td>May 1</table>"))
     return pages.select("page_id", F.inline(html.listing_rows(row, F.lit("https://x.org/list"))))
 
 
